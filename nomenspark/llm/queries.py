@@ -1,10 +1,14 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB forms."""
 
-from . import q03
+from . import q01, q02, q03
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": q03.op3_quality_rules}
+    return {
+        "op1_bpe": q01.op1_bpe,
+        "op2_token_counts": q02.op2_token_counts,
+        "op3_quality_rules": q03.op3_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
