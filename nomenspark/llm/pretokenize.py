@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -82,8 +83,8 @@ class Words:
         if new:
             self._add(sorted(new))
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        get = self.number.__getitem__
-        return np.fromiter((get(w) for t in texts for w in t), np.int64, int(counts.sum())), counts
+        at = map(self.number.__getitem__, chain.from_iterable(texts))
+        return np.fromiter(at, np.int64, int(counts.sum())), counts
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids of all texts, ids of each text)."""

@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB forms."""
 
-from . import q01, q02, q03
+from . import q01, q02, q03, q04
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_bpe": q01.op1_bpe,
         "op2_token_counts": q02.op2_token_counts,
         "op3_quality_rules": q03.op3_quality_rules,
+        "op4_token_files": q04.op4_token_files,
     }
 
 
