@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB forms."""
 
-from . import q01, q02, q03, q04
+from . import q01, q02, q03, q04, q05
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op2_token_counts": q02.op2_token_counts,
         "op3_quality_rules": q03.op3_quality_rules,
         "op4_token_files": q04.op4_token_files,
+        "op5_mixing": q05.op5_mixing,
     }
 
 
