@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB forms."""
 
-from . import q01, q02, q03, q04, q05
+from . import q01, q02, q03, q04, q05, q09
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_quality_rules": q03.op3_quality_rules,
         "op4_token_files": q04.op4_token_files,
         "op5_mixing": q05.op5_mixing,
+        "op9_minhash": q09.op9_minhash,
     }
 
 
