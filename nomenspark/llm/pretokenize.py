@@ -33,14 +33,16 @@ class Cutter:
     def __init__(self, pattern: str):
         self.find = regex.compile(pattern).findall
         self.iter = regex.compile(pattern).finditer
-        newer = _newer(pattern)
-        self.odd = regex.compile("[" + regex.escape(newer) + "]").search if newer else None
+        self.newer = frozenset(_newer(pattern))
         #: U+0378 is unassigned in every table so far: neither letter, number nor space.
-        self.plain = {ord(c): "͸" for c in newer}
+        self.plain = {ord(c): "\u0378" for c in self.newer}
 
     def __call__(self, text: str) -> list[str]:
-        if self.odd and not text.isascii() and self.odd(text):
-            return [text[m.start() : m.end()] for m in self.iter(text.translate(self.plain))]
+        try:
+            text.encode("latin-1")  # the usual case, told in no time
+        except UnicodeEncodeError:
+            if not self.newer.isdisjoint(text):
+                return [text[m.start() : m.end()] for m in self.iter(text.translate(self.plain))]
         return self.find(text)
 
 
