@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB forms."""
 
-from . import q01, q02, q03, q04, q05, q09
+from . import q01, q02, q03, q04, q05, q09, q10
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_token_files": q04.op4_token_files,
         "op5_mixing": q05.op5_mixing,
         "op9_minhash": q09.op9_minhash,
+        "op10_secrets": q10.op10_secrets,
     }
 
 
