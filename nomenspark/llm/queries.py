@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB forms."""
 
-from . import q01, q02, q03, q04, q05, q09, q10
+from . import q01, q02, q03, q04, q05, q06, q09, q10
 
 
 def queries() -> dict:
@@ -10,10 +10,11 @@ def queries() -> dict:
         "op3_quality_rules": q03.op3_quality_rules,
         "op4_token_files": q04.op4_token_files,
         "op5_mixing": q05.op5_mixing,
+        "op6_near_vectors": q06.op6_near_vectors,
         "op9_minhash": q09.op9_minhash,
         "op10_secrets": q10.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": q03.SQL}
+    return {"op3_quality_rules": q03.SQL, "op6_near_vectors": q06.SQL}
