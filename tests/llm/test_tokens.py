@@ -74,3 +74,11 @@ def test_long_and_short_paths_agree(monkeypatch):
     monkeypatch.setattr(bpe, "SHORT_BYTES", 0)
     flat2, lens2 = model.encode_words(words)
     assert flat.tolist() == flat2.tolist() and lens.tolist() == lens2.tolist()
+
+
+def test_latin_pattern_gives_the_same_pieces():
+    r = random.Random(5)
+    cut = Cutter(P.PATTERN)
+    for _ in range(3000):
+        x = "".join(chr(r.randrange(256)) if r.random() < 0.5 else r.choice(" 'strevmld1\n") for _ in range(20))
+        assert cut.latin(x) == cut.find(x)
