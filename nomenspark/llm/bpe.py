@@ -33,24 +33,28 @@ from .pretokenize import Cutter, Words
 #: Words of up to so many bytes go through SHORT together, at most BATCH of them a query.
 SHORT_BYTES, BATCH = 48, 30_000
 
-#: One contraction a round and word. Rows of a word that has no pair left come out with live = false.
+#: One contraction a round and word. A row is a token at position p, with the next one's position q and id t2 and the
+#: packed pair (rank, p, q) if the two can merge. The least packed pair of a word is its leftmost minimum-rank pair: its
+#: row takes the merged id, the row at q goes, and only rows next to the contraction meet the merge table again.
+#: Rows of a word that has no pair left come out once more with live = false.
 SHORT = """
-WITH RECURSIVE s(w, p, t, live) AS (
-  SELECT w, p, t, true FROM seed
+WITH RECURSIVE s(w, p, q, t, t2, pair, live) AS (
+  SELECT x.w, x.p, x.q, x.t, x.t2, (m.r::BIGINT << 32) | (x.p << 16) | x.q, true
+  FROM (SELECT w, p, lead(p) OVER (PARTITION BY w ORDER BY p) AS q, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS t2 FROM seed) x
+  LEFT JOIN merges m ON m.a = x.t AND m.b = x.t2
   UNION ALL
-  SELECT w, p, CASE WHEN pair = best THEN (pair >> 32)::INT ELSE t END, best IS NOT NULL
+  SELECT y.w, y.p, y.q, y.t, y.t2, CASE WHEN changed THEN (m.r::BIGINT << 32) | (y.p << 16) | y.q ELSE pair END, y.live
   FROM (
-    SELECT w, p, t, pair, best, lag(pair) OVER (PARTITION BY w ORDER BY p) AS before
-    FROM (
-      SELECT w, p, t, pair, min(pair) OVER (PARTITION BY w) AS best
-      FROM (
-        SELECT x.w, x.p, x.t, (m.r::BIGINT << 32) | x.p AS pair
-        FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS n FROM s WHERE live) x
-        LEFT JOIN merges m ON m.a = x.t AND m.b = x.n
-      )
-    )
-  )
-  WHERE best IS NULL OR before IS NULL OR before <> best
+    SELECT s.w, s.p, s.pair, h.b IS NOT NULL AS live, s.p = h.p OR s.q = h.p AS changed,
+      CASE WHEN s.p = h.p THEN h.q2 ELSE s.q END AS q,
+      CASE WHEN s.p = h.p THEN h.r ELSE s.t END AS t,
+      CASE WHEN s.p = h.p THEN h.after WHEN s.q = h.p THEN h.r ELSE s.t2 END AS t2
+    FROM s JOIN (
+      SELECT best.w, b, (b >> 32)::INT AS r, ((b >> 16) & 65535)::INT AS p, e.p AS eaten, e.q AS q2, e.t2 AS after
+      FROM (SELECT w, min(pair) AS b FROM s WHERE live GROUP BY w) best LEFT JOIN s e ON e.w = best.w AND e.p = (best.b & 65535)::INT
+    ) h ON h.w = s.w
+    WHERE s.live AND s.p IS DISTINCT FROM h.eaten
+  ) y LEFT JOIN merges m ON m.a = CASE WHEN y.changed THEN y.t END AND m.b = y.t2
 )
 SELECT w, p, t FROM s WHERE NOT live ORDER BY w, p
 """
@@ -138,20 +142,22 @@ class Bpe:
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each word) of non-empty words."""
         coded = [w.encode() for w in words]
-        lens, parts = np.zeros(len(coded), np.int64), [np.empty(0, np.int32)] * len(coded)
-        short = [i for i, x in enumerate(coded) if len(x) <= SHORT_BYTES]
+        short = np.array([i for i, x in enumerate(coded) if len(x) <= SHORT_BYTES], np.int64)
+        lens, parts = np.zeros(len(coded), np.int64), []
         for k in range(0, len(short), BATCH):
             own = short[k : k + BATCH]
             got = self._ask(SHORT, self._seed([coded[i] for i in own]))
-            n = np.bincount(got["w"], minlength=len(own))
-            lens[own] = n
-            for i, x in zip(own, np.split(np.asarray(got["t"], np.int32), np.cumsum(n)[:-1]), strict=True):
-                parts[i] = x
+            lens[own] = np.bincount(got["w"], minlength=len(own))
+            parts.append((own, np.asarray(got["t"], np.int32)))
         for i, x in enumerate(coded):
             if len(x) > SHORT_BYTES:
-                parts[i] = self._long(x)
-                lens[i] = len(parts[i])
-        return (np.concatenate(parts) if parts else np.empty(0, np.int32)), lens
+                parts.append((np.array([i]), self._long(x)))
+                lens[i] = len(parts[-1][1])
+        starts, flat = np.cumsum(lens) - lens, np.empty(int(lens.sum()), np.int32)
+        for own, ids in parts:  # a part's ids lie in the order of its words
+            n = lens[own]
+            flat[np.arange(len(ids)) + np.repeat(starts[own] - (np.cumsum(n) - n), n)] = ids
+        return flat, lens
 
     def _long(self, word: bytes) -> np.ndarray:
         seed = self._seed([word])
