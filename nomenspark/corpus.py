@@ -47,6 +47,14 @@ TABLES: dict[str, tuple[list[str], str]] = {
             FROM lineitem
           ) x
         ) y"""),
+    # accessions of every kind
+    "accessions": (["lineitem"], f"""
+        SELECT l_orderkey * 10 + l_linenumber AS vid, CASE l_partkey % 13 WHEN 0 THEN concat('NC_', {_n('l_orderkey')}, '.', CAST(l_linenumber AS STRING)) WHEN 1 THEN concat('NM_', {_n('l_orderkey')}, '.', CAST(l_linenumber AS STRING))
+          WHEN 2 THEN concat('NR_', {_n('l_orderkey')}, '.1') WHEN 3 THEN concat('NP_', {_n('l_orderkey')}, '.1') WHEN 4 THEN concat('XM_', {_n('l_orderkey')}, '.2') WHEN 5 THEN concat('LRG_', CAST(l_orderkey AS STRING))
+          WHEN 6 THEN concat('LRG_', CAST(l_orderkey AS STRING), 't', CAST(l_linenumber AS STRING)) WHEN 7 THEN concat('LRG_', CAST(l_orderkey AS STRING), 'p1') WHEN 8 THEN concat('ENST', {_n('l_orderkey', 11)}, '.4')
+          WHEN 9 THEN concat('ENSG', {_n('l_orderkey', 11)}) WHEN 10 THEN concat('ENSMUSP', {_n('l_orderkey', 11)}, '.1') WHEN 11 THEN concat('P', {_n('l_suppkey', 5)}) ELSE concat('NG_', {_n('l_orderkey')}) END AS acc,
+          l_partkey % 13 AS kind, {_n('l_orderkey')} AS six, {_n('l_orderkey', 11)} AS eleven, CAST(l_orderkey AS STRING) AS plain, l_linenumber AS n, {_n('l_suppkey', 5)} AS five
+        FROM lineitem"""),
     # an edit on a stored sequence, 0-based half-open [s, e)
     "edits": (["lineitem", "part", "sequences"], f"""
         SELECT l_orderkey * 10 + l_linenumber AS vid, acc, seq, CAST(20 + l_orderkey % 200 AS INT) AS s,
