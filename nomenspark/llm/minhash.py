@@ -4,15 +4,18 @@
 2. Each class has 120 minima: 24 bands of 5 give the buckets in which candidates meet, and the low 4 bits of each
    minimum are packed into a 60-byte signature. The share of equal 4-bit lanes, corrected for chance equality, is the
    estimate of the similarity.
-3. Inside a bucket, cut into blocks, every class names its best candidate by the estimates; these pairs are confirmed on
-   the full sets and joined to components. All candidate pairs that still lie in different components, over all pairs of
-   blocks, are then confirmed too. A pair inside one component can't change it, so no link is lost by leaving it.
-4. Components of classes are spread over the documents.
-
-Nothing grows with the square of a group of copies: equal sets are one class, and within a group of near copies the first
-round leaves one component. Sets are compared in Python batches; nothing but counts reaches the driver. Every step
-is a table in the shared folder. At a similarity of exactly 0.8, 24 bands of 5 miss a pair with probability 7e-5, and the
-estimate's margin another 3e-5; both fall fast above it.
+3. Inside a bucket, cut into blocks, pairs whose estimate allows the threshold make a graph, of which each block gives
+   a spanning forest; buckets of several blocks that still hold different components are compared over all pairs of
+   blocks. The components are clusters: no link leaves one.
+4. The full sets of each cluster meet once. Clusters up to a block are compared pair by pair there. Larger ones first
+   in a few random dealings of blocks, of which each gives a spanning forest of confirmed links, then, if they still hold
+   different components, over all pairs of blocks. A pair inside one component can't change it, so nothing is lost.
+5. Components of classes are spread over the documents.
+
+Copies with equal sets are one class, and no step writes down the pairs of a group: blocks give forests. What a task holds
+is two blocks of signatures or sets; nothing but counts reaches the driver. Texts are joined to the clustered doc_ids by
+shuffle, never by broadcast. Every step is a table in the shared folder. At a similarity of exactly 0.8, 24 bands of 5
+miss a pair with probability 7e-5, and the estimate's margin another 3e-5; both fall fast above it.
 
 Defined results: a null or empty text, or one without words, has the empty set and links with nothing; fewer words than
 the shingle length make one shingle; very long texts are taken whole; rows that share a doc_id are one document of several
@@ -33,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices, text_of
 from .components import components
 
-BANDS, ROWS, BLOCK = 24, 5, 512
+BANDS, ROWS, BLOCK, DEALINGS = 24, 5, 256, 3
 HASHES = BANDS * ROWS
 #: Below the threshold by so much, an estimate still makes a candidate: 4 standard deviations.
-MARGIN, STRONG = 0.15, 0.07
+MARGIN = 0.15
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _draw = np.random.default_rng(20260101)
 MULTIPLY = _draw.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
@@ -164,61 +167,142 @@ def pairs_within(group: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.nd
         at = to
 
 
-def candidates(entries: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """Pairs a < b (classes) of entries that share key and the two blocks and whose estimate allows the threshold.
+class Forest:
+    """Union-find over labels; add() says whether it joined two trees."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    def add(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def spanning(i: np.ndarray, j: np.ndarray, comp: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the pairs, sorted by group, make a spanning forest of each group's components."""
+    keep, at, forest = np.zeros(len(i), bool), -1, Forest()
+    for n, (a, b, g) in enumerate(zip(comp[i].tolist(), comp[j].tolist(), group[i].tolist(), strict=True)):
+        if g != at:
+            at, forest = g, Forest()
+        keep[n] = forest.add(a, b)
+    return keep
 
-    entries: key, b1, b2, cid, block, comp, n, signature. A pair of one component is none. With best, each b names one a:
-    the least of those whose estimate is clearly above the threshold, else the one with the highest estimate.
-    """
+
+def candidates(entries: DataFrame, threshold: float) -> DataFrame:
+    """A spanning forest (a, b) of the classes in each key and pair of blocks whose estimates allow the threshold.
+
+    entries: key, b1, b2, cid, block, comp, n, signature; a pair of one component is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in grouped(batches, ["key", "b1", "b2"]):
             col = {c: t.column(c).to_numpy() for c in ("cid", "block", "comp", "n", "b1", "b2")}
             sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            across = (col["b1"] != col["b2"])[:, None]
-            found = []
+            across, found = col["b1"] != col["b2"], []
             for i, j in pairs_within(group):
-                ok = (col["comp"][i] != col["comp"][j]) & (~across[i, 0] | (col["block"][i] != col["block"][j]))
+                ok = (col["comp"][i] != col["comp"][j]) & (~across[i] | (col["block"][i] != col["block"][j]))
                 small, large = np.minimum(col["n"][i], col["n"][j]), np.maximum(col["n"][i], col["n"][j])
                 ok &= small >= threshold * large - 1e-9
                 i, j = i[ok], j[ok]
-                like = estimate(sig[i], sig[j])
-                ok = like >= threshold - MARGIN
-                i, j, like = i[ok], j[ok], like[ok]
-                a, b = np.minimum(col["cid"][i], col["cid"][j]), np.maximum(col["cid"][i], col["cid"][j])
-                found.append((a, b, like, group[i]))
-            if not found:
-                continue
-            a, b, like, g = (np.concatenate(x) for x in zip(*found, strict=True))
-            if best and len(a):
-                strong = like >= threshold + STRONG
-                order = np.lexsort((np.where(strong, a, 0), np.where(strong, 0, -like), ~strong, b, g))
-                a, b, g = a[order], b[order], g[order]
-                first = np.concatenate([[True], (b[1:] != b[:-1]) | (g[1:] != g[:-1])])
-                a, b = a[first], b[first]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                ok = estimate(sig[i], sig[j]) >= threshold - MARGIN
+                found.append((i[ok], j[ok]))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                ok = spanning(i, j, col["comp"], group)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(col["cid"][i[ok]]), "b": pa.array(col["cid"][j[ok]])})
 
     cols = ("key", "b1", "b2", "cid", "block", "comp", "n", "signature")
     dealt = entries.select(*cols).repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the full sets."""
+def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of 0/1 matrices over the shared elements."""
+    flat = np.concatenate(sets)
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    held = np.cumsum(new) - 1
+    shared = np.bincount(held)[held] > 1
+    own, held = own[shared], held[shared]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    if len(held):
+        place = np.cumsum(np.concatenate([[False], held[1:] != held[:-1]]))
+        for at in range(0, int(place[-1]) + 1, columns):
+            lo, hi = np.searchsorted(place, [at, at + columns])
+            one = np.zeros((len(sets), min(columns, int(place[-1]) + 1 - at)), np.float32)
+            one[own[lo:hi], place[lo:hi] - at] = 1
+            out += one @ one.T
+    return out.astype(np.int64)
+
+
+def confirm(entries: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (a, b) of the links in each cluster and pair of blocks, confirmed on the full sets.
+
+    entries: cluster, b1, b2, cid, block, comp, shingles; a pair of one component is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column("x"), batch.column("y")
-            for k in range(batch.num_rows):
-                x, y = left[k].values.to_numpy(), right[k].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for t, group in grouped(batches, ["cluster", "b1", "b2"]):
+            col = {c: t.column(c).to_numpy() for c in ("cid", "block", "comp", "b1", "b2")}
+            lists = t.column("shingles").combine_chunks()
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            size = np.diff(ends).astype(np.int64)
+            bounds = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if hi - lo < 2 or (col["comp"][lo:hi] == col["comp"][lo]).all():
+                    continue
+                both = intersections(sets[lo:hi])
+                link = 100 * both >= percent * (size[lo:hi, None] + size[None, lo:hi] - both)
+                i, j = np.nonzero(np.triu(link, 1))
+                i, j = i + lo, j + lo
+                ok = col["comp"][i] != col["comp"][j]
+                if col["b1"][lo] != col["b2"][lo]:
+                    ok &= col["block"][i] != col["block"][j]
+                i, j = i[ok], j[ok]
+                ok = spanning(i, j, col["comp"], group)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(col["cid"][i[ok]]), "b": pa.array(col["cid"][j[ok]])})
+
+    cols = ("cluster", "b1", "b2", "cid", "block", "comp", "shingles")
+    dealt = entries.select(*cols).repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def alone(rows: DataFrame) -> DataFrame:
+    """Each block by itself."""
+    return rows.withColumns({"b1": F.col("block"), "b2": F.col("block")})
+
+
+def all_blocks(rows: DataFrame) -> DataFrame:
+    """Each pair of blocks together: a row goes to as many groups as there are blocks."""
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), block_count() - 1)))
+    return spread.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
+
+
+def block_count():
+    return F.ceil(F.col("size") / BLOCK).cast("long")
+
+
+def blocked(rows: DataFrame, *salt: str) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("cid", *salt), block_count()))
+
+
+def with_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with comp: the class's root, itself if it has none."""
+    return rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+
 
-    one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
-    two = one.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Keys of more than one block that hold more than one component."""
+    several = rows.where(F.col("size") > BLOCK).groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return several.where("lo <> hi").select(key)
 
 
 def shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -235,7 +319,7 @@ def shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                         out["shingles"].append(s.view(np.int64))
                 yield pa.RecordBatch.from_pydict({"cid": pa.array(out["cid"], pa.int64()), "shingles": pa.array(out["shingles"], pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted.hint("merge"), "doc_id")
     return rows.select("cid", "digest", "text").mapInArrow(run, "cid long, shingles array<long>")
 
 
@@ -252,31 +336,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     keyed = faces.select(F.explode("bands").alias("key"), "cid")
     met = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = scratch.table(keyed.join(met, "key"), "shared")
-    wanted = scratch.table(classes.join(shared.select("cid").distinct(), "cid"), "wanted")
-    faced = scratch.table(faces.select("cid", "signature", "n").join(wanted.select("cid"), "cid", "left_semi"), "faces")
+    faced = scratch.table(faces.select("cid", "signature", "n").join(shared.select("cid").distinct(), "cid", "left_semi"), "faces")
+    # clusters by estimates
+    entries = blocked(shared, "key").join(faced, "cid").withColumn("comp", F.col("cid"))
+    near = scratch.table(candidates(alone(entries), threshold), "near")
+    roots = components(near, scratch)
+    rooted = scratch.table(with_component(shared, roots), "rooted")
+    left = blocked(rooted.join(mixed(rooted, "key"), "key", "left_semi"), "key")
+    further = scratch.table(candidates(all_blocks(left).join(faced, "cid"), threshold), "further")
+    roots = components(roots.toDF("a", "b").union(further), scratch)
+    members = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).toDF("cid", "cluster")
+    sized = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    wanted = scratch.table(classes.join(members, "cid").join(sized, "cluster"), "wanted")
+    # links by full sets
     sets = scratch.table(shingles(docs, wanted.select("cid", "doc_id", "digest"), k), "sets")
-    # round 1: blocks by themselves
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    entries = shared.withColumn("block", F.pmod(F.xxhash64("cid", "key"), blocks)).join(faced, "cid")
-    alone = entries.withColumns({"b1": F.col("block"), "b2": F.col("block"), "comp": F.col("cid")})
-    tried = scratch.table(candidates(alone, threshold, best=True), "pairs")
-    links = scratch.table(confirm(tried, sets, percent), "links")
-    roots = scratch.table(components(links, scratch), "roots")
-    # round 2: all pairs of blocks, where a bucket still holds more than one component
-    rooted = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
-    rooted = scratch.table(rooted, "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = rooted.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("cid", "key"), blocks))
-    spread = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")}).join(faced, "cid")
-    rest = candidates(spread, threshold, best=False).join(tried, ["a", "b"], "left_anti")
-    more = scratch.table(confirm(rest, sets, percent), "more")
-    final = scratch.table(components(roots.toDF("a", "b").union(more), scratch), "components")
+    placed = wanted.select("cid", "cluster", "size")
+    dealt = blocked(placed.withColumn("deal", F.explode(F.when(F.col("size") > BLOCK, F.sequence(F.lit(1), F.lit(DEALINGS))).otherwise(F.array(F.lit(1))))), "deal")
+    dealt = alone(dealt.withColumn("block", F.col("deal") * block_count() + F.col("block"))).withColumn("comp", F.col("cid"))
+    links = scratch.table(confirm(dealt.join(sets.hint("merge"), "cid"), percent), "links")
+    roots = components(links, scratch)
+    rooted = scratch.table(with_component(placed, roots), "placed")
+    left = blocked(rooted.join(mixed(rooted, "cluster"), "cluster", "left_semi"), "cluster")
+    more = scratch.table(confirm(all_blocks(left).join(sets.hint("merge"), "cid"), percent), "more")
+    final = components(roots.toDF("a", "b").union(more), scratch)
     # the least doc_id of each component, then of each class's component, then of each row's class
     placed = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     low = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = scratch.table(placed.join(low, "root").select("digest", "component_id"), "named")
-    scratch.drop(classes, shared, wanted, faced, sets, tried, links, roots, rooted, more, final)
+    scratch.drop(classes, shared, faced, near, further, wanted, sets, links, more)
     out = drawn.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
