@@ -1,8 +1,8 @@
 """Queries by theme; each module holds QUERIES and ORACLE."""
 
-from . import text
+from . import sequence, text
 
-MODULES = (text,)
+MODULES = (text, sequence)
 
 
 def queries() -> dict:

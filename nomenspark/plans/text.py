@@ -7,19 +7,10 @@ from pyspark.sql import functions as F
 from nomenspark import corpus
 from nomenspark.functions import descriptions as D
 
-QUERIES, ORACLE = {}, {}
+from .registry import Registry
 
-
-def query(name: str, sql: str | None = None, *tables: str):
-    """Registers a query and its oracle; tables: the derived tables that the SQL reads."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = (corpus.with_tables(*tables) if tables else "") + sql
-        return f
-
-    return put
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 
 def variants(spark, d):
