@@ -1,8 +1,8 @@
 """Queries by theme; each module holds QUERIES and ORACLE."""
 
-from . import sequence, text
+from . import genomics, sequence, text
 
-MODULES = (text, sequence)
+MODULES = (text, sequence, genomics)
 
 
 def queries() -> dict:
