@@ -2,7 +2,7 @@
 
 The relations are: count tables of n-grams, partitioned by hash; the n-grams of the documents, exploded; their join; and
 sums per document. They are held in blocks, so that a shuffled row carries many n-grams: documents are dealt to slices of
-some 16 MB by a hash, a slice sends its distinct n-grams with their counts to the hash partitions, each partition adds up
+some 8 MB by a hash, a slice sends its distinct n-grams with their counts to the hash partitions, each partition adds up
 what all slices sent and answers every slice with the totals, in the order of its n-grams, and the slice, whose texts lie
 where they lay, joins the answers to its tokens. A frequent word is one entry of a slice, so no key is hot.
 
@@ -30,15 +30,18 @@ from pyspark.sql import functions as F
 from .common import WORD, text_of
 from .minhash import LOWER, grouped, mix
 
-SLICE_BYTES, LEAST_SLICES, BACKOFF = 16 << 20, 32, 0.4
+SLICE_BYTES, LEAST_SLICES, BACKOFF = 8 << 20, 32, 0.4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, words of each text)"""
-    words = [t.encode().translate(LOWER).split() for t in texts]
-    flat = [np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)) for w in words]
-    return (np.concatenate(flat) if flat else np.empty(0, np.uint64)), np.fromiter(map(len, words), np.int64, len(words))
+    flat, lens = [], []
+    for t in texts:  # the words of one text at a time
+        words = t.encode().translate(LOWER).split()
+        flat.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        lens.append(len(words))
+    return (np.concatenate(flat) if flat else np.empty(0, np.uint64)), np.array(lens, np.int64)
 
 
 def grams(flat: np.ndarray, lens: np.ndarray, order: int) -> list[np.ndarray]:
