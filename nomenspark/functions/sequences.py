@@ -27,18 +27,20 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def amino_acid(codon: Column) -> Column:
-    """One letter, * for a stop; X for what is no codon."""
-    places = [F.instr(F.lit("TCAG"), F.substring(F.translate(F.upper(codon), "U", "T"), i, 1)) for i in (1, 2, 3)]
-    fine = (F.length(codon) == 3) & (places[0] > 0) & (places[1] > 0) & (places[2] > 0)
-    at = (places[0] - 1) * 16 + (places[1] - 1) * 4 + places[2]
-    return F.when(fine, F.substring(F.lit(CODE), F.when(fine, at).otherwise(1), F.lit(1))).otherwise("X")
+    """One letter, * for a stop; X for what is no codon in upper-case DNA letters."""
+    at = F.call_function("instr", F.lit(",".join(CODONS)), codon)
+    return F.when((at > 0) & (F.length(codon) == 3), F.substring(F.lit(CODE), F.floor((at - 1) / 4).cast("int") + 1, F.lit(1))).otherwise("X")
 
 
 def translate(seq: Column) -> Column:
-    """All whole codons, through stops."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(starts, lambda i: amino_acid(F.substring(seq, i * 3 + 1, F.lit(3)))), "")
+    """All whole codons, through stops; U counts as T, and case doesn't count."""
+
+    def read(dna: Column) -> Column:
+        n = F.floor(F.length(dna) / 3).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(starts, lambda i: let(F.substring(dna, i * 3 + 1, F.lit(3)), amino_acid)), "")
+
+    return let(F.translate(F.upper(seq), "U", "T"), read)
 
 
 def translate_to_stop(seq: Column) -> Column:

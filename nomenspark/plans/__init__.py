@@ -1,8 +1,8 @@
 """Queries by theme; each module holds QUERIES and ORACLE."""
 
-from . import genomics, sequence, text
+from . import effect, genomics, sequence, text
 
-MODULES = (text, sequence, genomics)
+MODULES = (text, sequence, genomics, effect)
 
 
 def queries() -> dict:
