@@ -65,21 +65,30 @@ _PROTEIN = r"^([A-Za-z]+_?\d+(?:p\d+)?(?:\.\d+)?):p\.\(?([A-Z][a-z]{2})([1-9]\d{
 def parse(description: Column) -> Column:
     """struct(accession, axis, s, e, edit, ref, alt) of a common form; edit is null for all others.
 
-    The two patterns cover what most descriptions look like; the full grammar is for the rest only.
+    The two patterns cover what most descriptions look like; the full grammar is for the rest only. Each is matched once a
+    row: its groups are read from one replaced text.
     """
-    take = lambda r, i: F.nullif(F.regexp_extract(description, r, i), F.lit(""))
-    na, protein = description.rlike(_NA), description.rlike(_PROTEIN)
-    s = F.coalesce(take(_NA, 3), take(_PROTEIN, 3)).cast("long")
-    e = F.coalesce(take(_NA, 4).cast("long"), s)
-    sub = take(_NA, 5).isNotNull()
-    fine = (na & (~sub | take(_NA, 4).isNull()) & (e >= s)) | protein
-    edit = F.when(protein, "missense").when(sub, "sub").otherwise(F.regexp_replace(F.coalesce(take(_NA, 7), take(_NA, 8)), "^=$", "identity"))
-    only = lambda c: F.when(fine, c)
-    return F.struct(
-        only(F.coalesce(take(_NA, 1), take(_PROTEIN, 1))).alias("accession"), only(F.coalesce(take(_NA, 2), F.lit("p"))).alias("axis"),
-        only(s).alias("s"), only(e).alias("e"), only(edit).alias("edit"),
-        only(F.coalesce(take(_NA, 5), take(_PROTEIN, 2), F.lit(""))).alias("ref"), only(F.coalesce(take(_NA, 6), take(_NA, 9), take(_PROTEIN, 4), F.lit(""))).alias("alt"),
-    )
+    groups = lambda p, n: F.split(F.regexp_replace(description, p, "\t".join(f"${i}" for i in range(1, n + 1))), "\t")
+    kind = lambda f: F.struct(*[x.alias(n) for x, n in zip(f, ("accession", "axis", "s", "e", "edit", "ref", "alt"), strict=True)])
+    none = kind([F.lit(None).cast(t) for t in ("string", "string", "long", "long", "string", "string", "string")])
+
+    def nucleic(g: Column) -> Column:
+        at = lambda i: F.element_at(g, i)
+        s, e = at(3).try_cast("long"), at(4).try_cast("long")
+        sub = at(5) != ""
+        edit = F.when(sub, "sub").when(at(7) == "=", "identity").otherwise(F.concat(at(7), at(8)))
+        fine = F.when(sub, e.isNull()).otherwise(e.isNull() | (e >= s))
+        return F.when(fine, kind([at(1), at(2), s, F.coalesce(e, s), edit, at(5), F.concat(at(6), at(9))])).otherwise(none)
+
+    def protein(g: Column) -> Column:
+        at = lambda i: F.element_at(g, i)
+        n = at(3).try_cast("long")
+        return kind([at(1), F.lit("p"), n, n, F.lit("missense"), at(2), at(4)])
+
+    def read(x: Column) -> Column:
+        return F.when(F.size(x["n"]) == 9, nucleic(x["n"])).when(F.size(x["p"]) == 4, protein(x["p"])).otherwise(none)
+
+    return F.element_at(F.transform(F.array(F.struct(groups(_NA, 9).alias("n"), groups(_PROTEIN, 4).alias("p"))), read), 1)
 
 
 def write(accession: Column, axis: Column, s: Column, e: Column, edit: Column, ref: Column, alt: Column) -> Column:

@@ -1,8 +1,8 @@
 """Queries by theme; each module holds QUERIES and ORACLE."""
 
-from . import effect, genomics, sequence, text
+from . import effect, formats, genomics, sequence, text
 
-MODULES = (text, sequence, genomics, effect)
+MODULES = (text, sequence, genomics, effect, formats)
 
 
 def queries() -> dict:
