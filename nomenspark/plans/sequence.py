@@ -12,7 +12,12 @@ from .registry import Registry
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 c = F.col
-EDIT = (c("seq"), c("s"), c("e"), c("payload"))
+
+
+def edit():
+    """The columns of an edit."""
+    return c("seq"), c("s"), c("e"), c("payload")
+
 
 _PREFIX = "coalesce(list_min(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1))) - 1, least(length({a}), length({b})))"
 #: trimmed edit: a deleted bases, ts te trimmed bounds, r and p what is left
@@ -123,19 +128,19 @@ _CANONICAL = _TRIM + """, w AS (SELECT *, CASE WHEN length(p) > 0 THEN substr(p,
 
 @query("m8_canonical_edit", _CANONICAL + "SELECT vid, c.edit AS edit, c.s::INT AS s, c.e::INT AS e, c.alt AS alt FROM f", "edits")
 def m8(spark, d):
-    return edits(spark, d).select("vid", S.canonical(*EDIT).alias("c")).select("vid", "c.*")
+    return edits(spark, d).select("vid", S.canonical(*edit()).alias("c")).select("vid", "c.*")
 
 
 @query("m0_canonical_description", _CANONICAL + """SELECT vid, concat(acc, ':g.', CASE c.edit WHEN 'ins' THEN concat(c.s, '_', c.s + 1, 'ins', c.alt) WHEN 'sub' THEN concat(c.s + 1, substr(seq, (c.s + 1)::INT, 1), '>', c.alt)
   WHEN 'identity' THEN concat(CASE WHEN c.e > c.s + 1 THEN concat(c.s + 1, '_', c.e) ELSE concat(c.s + 1) END, '=') ELSE concat(CASE WHEN c.e > c.s + 1 THEN concat(c.s + 1, '_', c.e) ELSE concat(c.s + 1) END, c.edit, c.alt) END) AS description FROM f""", "edits")
 def m0(spark, d):
-    return edits(spark, d).select("vid", "acc", "seq", S.canonical(*EDIT).alias("c")).select("vid", S.described(c("acc"), c("seq"), c("c")).alias("description"))
+    return edits(spark, d).select("vid", "acc", "seq", S.canonical(*edit()).alias("c")).select("vid", S.described(c("acc"), c("seq"), c("c")).alias("description"))
 
 
 @query("m0_canonical_keeps_the_sequence", "SELECT vid, true AS same, true AS again FROM edits", "edits")
 def m0p(spark, d):
     """The canonical edit gives the same sequence, and is its own canonical form."""
-    x = edits(spark, d).withColumn("c", S.canonical(*EDIT))
+    x = edits(spark, d).withColumn("c", S.canonical(*edit()))
     old = S.part(c("seq"), c("c.s"), c("c.e") - c("c.s"))
     new = F.when(c("c.edit") == "identity", old).when(c("c.edit") == "dup", F.concat(old, old)).when(c("c.edit") == "inv", S.reverse_complement(old)).otherwise(c("c.alt"))
     x = x.withColumn("new", new)
@@ -162,7 +167,7 @@ def m14(spark, d):
 
 @query("o4_apply", "SELECT vid, concat(left(seq, s), payload, substr(seq, e + 1)) AS result FROM edits", "edits")
 def o4(spark, d):
-    return edits(spark, d).select("vid", S.applied(*EDIT).alias("result"))
+    return edits(spark, d).select("vid", S.applied(*edit()).alias("result"))
 
 
 _KEY = _TRIM + """, w AS (SELECT vid, acc, s, a, payload, r, p, ts, k, CASE WHEN r <> '' AND p = '' THEN concat_ws(':', acc, ts + k, substr(r, 1 + k % length(r)) || substr(r, 1, k % length(r)), '')
@@ -172,7 +177,7 @@ _KEY = _TRIM + """, w AS (SELECT vid, acc, s, a, payload, r, p, ts, k, CASE WHEN
 
 @query("o5_canonical_spdi", _KEY + "SELECT vid, key FROM w", "edits")
 def o5(spark, d):
-    return edits(spark, d).select("vid", S.canonical_spdi(c("acc"), *EDIT).alias("key"))
+    return edits(spark, d).select("vid", S.canonical_spdi(c("acc"), *edit()).alias("key"))
 
 
 @query("p6_group_by_key", _KEY + "SELECT key, count(*) AS n, min(vid) AS first FROM w GROUP BY key", "edits")
@@ -182,21 +187,21 @@ def p6(spark, d):
 
 @query("p5_equivalence_classes", _KEY + "SELECT vid, min(vid) OVER (PARTITION BY key) AS class FROM w", "edits")
 def p5(spark, d):
-    x = edits(spark, d).select("vid", S.canonical_spdi(c("acc"), *EDIT).alias("key"))
+    x = edits(spark, d).select("vid", S.canonical_spdi(c("acc"), *edit()).alias("key"))
     return x.join(x.groupBy("key").agg(F.min("vid").alias("class")), "key").select("vid", "class")
 
 
 @query("p7_confluence", "SELECT 0::BIGINT AS violations, count(*) AS classes FROM (SELECT DISTINCT acc, concat(left(seq, s), payload, substr(seq, e + 1)) FROM edits)", "edits")
 def p7(spark, d):
     """Descriptions of one resulting sequence that were not given one key: none may be."""
-    x = edits(spark, d).select("acc", S.applied(*EDIT).alias("result"), S.canonical_spdi(c("acc"), *EDIT).alias("key"), (S.part(c("seq"), c("s"), c("e") - c("s")) == c("payload")).alias("none"))
+    x = edits(spark, d).select("acc", S.applied(*edit()).alias("result"), S.canonical_spdi(c("acc"), *edit()).alias("key"), (S.part(c("seq"), c("s"), c("e") - c("s")) == c("payload")).alias("none"))
     classes = x.groupBy("acc", F.xxhash64("result"), "result").agg(F.count_distinct(F.when(~c("none"), c("key"))).alias("keys"))
     return classes.agg(F.count_if(c("keys") > 1).alias("violations"), F.count("*").alias("classes"))
 
 
 @query("o6_same_sequence", "SELECT vid, concat(left(seq, s), payload, substr(seq, e + 1)) = seq AS same FROM edits", "edits")
 def o6(spark, d):
-    return edits(spark, d).select("vid", (S.applied(*EDIT) == c("seq")).alias("same"))
+    return edits(spark, d).select("vid", (S.applied(*edit()) == c("seq")).alias("same"))
 
 
 @query("c15_parse_spdi", "SELECT vid, acc AS sequence, s::BIGINT AS position, substr(seq, s + 1, e - s) AS deletion, payload AS insertion FROM edits", "edits")
