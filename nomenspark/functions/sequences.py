@@ -33,14 +33,17 @@ def amino_acid(codon: Column) -> Column:
 
 
 def translate(seq: Column) -> Column:
-    """All whole codons, through stops; U counts as T, and case doesn't count."""
-
-    def read(dna: Column) -> Column:
-        n = F.floor(F.length(dna) / 3).cast("int")
-        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.array_join(F.transform(starts, lambda i: let(F.substring(dna, i * 3 + 1, F.lit(3)), amino_acid)), "")
-
-    return let(F.translate(F.upper(seq), "U", "T"), read)
+    """All whole codons, through stops; U counts as T, and case doesn't count. A codon of other letters gives X.
+
+    Codons are set apart by a blank, and each of the 64 is replaced with its letter: string operations on the whole
+    sequence, no step per codon. A codon and its blank are four characters that nothing else can spell.
+    """
+    dna = F.translate(F.upper(seq), "U", "T")
+    text = F.regexp_replace(F.regexp_replace(dna, "(.{3})", "$1 "), " .{1,2}$", " ")
+    text = F.when(F.length(dna) < 3, "").otherwise(text)
+    for codon, letter in CODONS.items():
+        text = F.replace(text, F.lit(codon + " "), F.lit(letter))
+    return F.regexp_replace(text, ".{3} ", "X")
 
 
 def translate_to_stop(seq: Column) -> Column:
