@@ -6,7 +6,7 @@ Decoding joins token rows with the vocabulary and aggregates their bytes in orde
 
 No shuffle: a document never leaves its partition. A worker's memory is bounded by the slice of text at hand, by the
 word table (see pretokenize.Words) and by DuckDB's memory limit, beyond which it spills to the worker's own temporary
-folder, which is removed. A lost executor costs its running tasks only.
+folder, which is removed. At a task's end both are given back. A lost executor costs its running tasks only.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; a pre-token of any length is contracted
 whole; repeated rows each get their row; an empty table gives none; other columns are passed by.
@@ -14,9 +14,7 @@ whole; repeated rows each get their row; an empty table gives none; other column
 
 from __future__ import annotations
 
-import atexit
 import base64
-import shutil
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import give_back, slices, text_of
 from .pretokenize import Cutter, Words
 
 #: Words of up to so many bytes go through SHORT together, at most BATCH of them a query.
-SHORT_BYTES, BATCH = 48, 30_000
+SHORT_BYTES, BATCH = 48, 20_000
 
 #: One contraction a round and word. A row is a token at position p, with the next one's position q and id t2 and the
 #: packed pair (rank, p, q) if the two can merge. The least packed pair of a word is its leftmost minimum-rank pair: its
@@ -106,7 +104,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """The relations of one rank file in an in-memory DuckDB of the worker."""
 
-    def __init__(self, path: str, memory: str = "250MB"):
+    def __init__(self, path: str, memory: str = "150MB"):
         ranks = load_ranks(path)
         a, b, r = [], [], []
         for token, rank in ranks.items():
@@ -114,17 +112,31 @@ class Bpe:
                 if (x := ranks.get(token[:i])) is not None and (y := ranks.get(token[i:])) is not None:
                     a.append(x), b.append(y), r.append(rank)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        spill = tempfile.mkdtemp(prefix="bpe-")
-        atexit.register(shutil.rmtree, spill, True)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill})
-        self._put("merges", a=a, b=b, r=r)
-        self._put("vocabulary", t=list(ranks.values()), h=[x.hex() for x in ranks])
-
-    def _put(self, name: str, **columns) -> None:
-        table = pa.table({k: pa.array(v, pa.string() if k == "h" else pa.int32()) for k, v in columns.items()})
-        self.con.register("incoming", table)
-        self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
-        self.con.unregister("incoming")
+        self.tables = {
+            "merges": pa.table({k: pa.array(v, pa.int32()) for k, v in (("a", a), ("b", b), ("r", r))}),
+            "vocabulary": pa.table({"t": pa.array(ranks.values(), pa.int32()), "h": pa.array([x.hex() for x in ranks], pa.string())}),
+        }
+        self.memory, self.open = memory, None
+
+    @property
+    def con(self) -> duckdb.DuckDBPyConnection:
+        """The database with its tables; opened when first asked for, until release()."""
+        if self.open is None:
+            spill = tempfile.TemporaryDirectory(prefix="bpe-")
+            con = duckdb.connect(config={"threads": 1, "memory_limit": self.memory, "temp_directory": spill.name})
+            for name, table in self.tables.items():
+                con.register("incoming", table)
+                con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
+                con.unregister("incoming")
+            self.open = (con, spill)
+        return self.open[0]
+
+    def release(self) -> None:
+        if self.open is not None:
+            con, spill = self.open
+            self.open = None
+            con.close()
+            spill.cleanup()
 
     def _ask(self, query: str, seed: pa.Table, name: str = "seed", **parameters) -> dict[str, np.ndarray]:
         self.con.register(name, seed)
@@ -197,13 +209,18 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cut, words = _worker(path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                flat, lens = words.ids([cut(x) for x in part.column("text").to_pylist()])
-                out = {"key": part.column("key"), "ids": ragged(flat, lens)}
-                if decoded:
-                    out["decoded"] = pa.array(bpe.decode(flat, lens), pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+        try:
+            for batch in batches:
+                for part in slices(batch, "text", 1 << 20):
+                    flat, lens = words.ids([cut(x) for x in part.column("text").to_pylist()])
+                    out = {"key": part.column("key"), "ids": ragged(flat, lens)}
+                    if decoded:
+                        out["decoded"] = pa.array(bpe.decode(flat, lens), pa.binary())
+                    yield pa.RecordBatch.from_pydict(out)
+        finally:  # an idle worker holds neither the database nor its words
+            bpe.release()
+            words.clear()
+            give_back()
 
     rows = df.select(F.col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -216,13 +233,17 @@ def decode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _, _ = _worker(path, pattern)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                lists = part.column("ids")
-                lens = np.asarray(pa.compute.list_value_length(lists).fill_null(0), np.int64)
-                got = bpe.decode(np.asarray(lists.flatten(), np.int32), lens)
-                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "decoded": pa.array(got, pa.binary())})
+        try:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    lists = part.column("ids")
+                    lens = np.asarray(pa.compute.list_value_length(lists).fill_null(0), np.int64)
+                    got = bpe.decode(np.asarray(lists.flatten(), np.int32), lens)
+                    yield pa.RecordBatch.from_pydict({"key": part.column("key"), "decoded": pa.array(got, pa.binary())})
+        finally:
+            bpe.release()
+            give_back()
 
     rows = df.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -71,3 +71,13 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         end = max(start + 1, int(np.searchsorted(total, base + most_bytes, side="right")))
         yield batch.slice(start, end - start)
         start = end
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
