@@ -245,3 +245,68 @@ def from_spdi(v: Column) -> Column:
         .when((kind == "delins") & inverted, F.concat(place, F.lit("inv"))).when(kind == "delins", F.concat(place, F.lit("delins"), i))
     )
     return F.concat(v["sequence"], F.lit(":g."), body)
+
+
+# ---- repeats
+
+
+def tract(seq: Column, at: Column, unit: Column) -> Column:
+    """struct(start, end): the longest run of whole copies of the unit that holds the copy at 0-based at, half-open; empty if
+    no copy starts there."""
+    after = F.call_function("regexp_extract", F.substr(seq, (at + 1).cast("int")), F.concat(F.lit("^(?:"), unit, F.lit(")*")), F.lit(0))
+    before = F.call_function("regexp_extract", part(seq, F.lit(0), at), F.concat(F.lit("(?:"), unit, F.lit(")*$")), F.lit(0))
+    held = F.length(after) > 0
+    return F.struct((at - F.when(held, F.length(before)).otherwise(0)).cast("int").alias("start"), (at + F.length(after)).cast("int").alias("end"))
+
+
+def repeat_edit(seq: Column, at: Column, unit: Column, copies: Column, coding: Column) -> Column:
+    """struct(edit, s, e, alt, copies) of a stated number of copies of a unit at a tract: 0-based half-open.
+
+    The tract is moved to its last phase first, so that the unit may be rotated. As many copies as the reference has are no
+    change; one more is a duplication of the last unit; fewer delete the last units, and more insert after the tract, if
+    that is on a coding axis and the unit is no whole codon, or if one copy differs or none is left; else the copies are stated.
+    """
+    n = F.length(unit)
+
+    def aligned(x: Column) -> Column:
+        # bases after the tract that go on with the unit move its phase
+        more = shift_insertion(seq, x["end"], unit)
+        return F.struct((x["start"] + more).cast("int").alias("start"), (x["end"] + more).cast("int").alias("end"), rotate(unit, more).alias("unit"))
+
+    def decide(x: Column) -> Column:
+        has = F.floor((x["end"] - x["start"]) / n).cast("int")
+        gate = coding & (n % 3 != 0)
+        out = lambda edit, a, b, alt, k: F.struct(F.lit(edit).alias("edit"), a.cast("int").alias("s"), b.cast("int").alias("e"), alt.alias("alt"), k.cast("int").alias("copies"))
+        none, null = F.lit(""), F.lit(None)
+        stated = out("repeat", x["start"], x["end"], x["unit"], copies)
+        return (
+            F.when(has == 0, out("unchanged", x["start"], x["end"], none, copies)).when(copies == has, out("unchanged", x["start"], x["end"], x["unit"], copies))
+            .when(copies == has + 1, out("dup", x["end"] - n, x["end"], none, null))
+            .when(copies < has, F.when((has - copies >= 2) & (copies >= 1) & ~gate, stated).otherwise(out("del", x["end"] - (has - copies) * n, x["end"], none, null)))
+            .when(gate, out("ins", x["end"], x["end"], F.repeat(x["unit"], (copies - has).cast("int")), null)).otherwise(stated)
+        )
+
+    return let(let(tract(seq, at, unit), aligned), decide)
+
+
+def insertion_to_repeat(seq: Column, s: Column, payload: Column, coding: Column) -> Column:
+    """struct(edit, s, e, alt, copies) of an insertion before 0-based s: at its last place, and if it is two copies or more of
+    a unit that the bases before it repeat, the new number of copies there; on a coding axis only for whole codons."""
+
+    def shifted(k: Column) -> Column:
+        return F.struct((s + k).cast("int").alias("at"), rotate(payload, k).alias("alt"))
+
+    def united(x: Column) -> Column:
+        return F.struct(x["at"].alias("at"), x["alt"].alias("alt"), smallest_unit(x["alt"]).alias("unit"))
+
+    def counted(x: Column) -> Column:
+        run = F.call_function("regexp_extract", part(seq, F.lit(0), x["at"]), F.concat(F.lit("(?:"), x["unit"], F.lit(")*$")), F.lit(0))
+        return F.struct(x["at"].alias("at"), x["alt"].alias("alt"), x["unit"].alias("unit"), F.length(run).alias("held"))
+
+    def decide(x: Column) -> Column:
+        n, added = F.length(x["unit"]), F.length(x["alt"])
+        fits = (added >= 2 * n) & (x["held"] > 0) & ~(coding & (n % 3 != 0))
+        out = lambda edit, a, alt, k: F.struct(F.lit(edit).alias("edit"), a.cast("int").alias("s"), x["at"].cast("int").alias("e"), alt.alias("alt"), k.cast("int").alias("copies"))
+        return F.when(fits, out("repeat", x["at"] - x["held"], x["unit"], (x["held"] + added) / n)).otherwise(out("ins", x["at"], x["alt"], F.lit(None)))
+
+    return let(let(let(let(shift_insertion(seq, s, payload), shifted), united), counted), decide)

@@ -233,3 +233,40 @@ def o1(spark, d):
     """Without a reference: substitutions and insertions state all their bases."""
     v = corpus.table(spark, d, "variants").where("edit IN ('sub', 'ins') AND axis <> 'p'")
     return v.select("vid", S.spdi(c("acc"), F.when(c("edit") == "sub", c("s") - 1).otherwise(c("s")), c("ref"), c("alt")).alias("spdi"))
+
+
+_TRACT = """, x AS (SELECT k, seq, (k * 11) % 180 + 3 AS p, 1 + k % 3 AS n, (k % 5)::INT AS copies, k % 2 = 0 AS coding FROM sequences), u AS (SELECT *, substr(seq, p + 1, n) AS unit FROM x),
+v AS (SELECT *, list_max(list_filter(range(0, 80), lambda m: substr(seq, p + 1, m * n) = repeat(unit, m))) AS fwd, list_max(list_filter(range(0, 80), lambda m: m * n <= p AND substr(seq, p - m * n + 1, m * n) = repeat(unit, m))) AS back FROM u),
+w AS (SELECT *, p - back * n AS t0, p + fwd * n AS t1, substr(repeat(unit, 100), 1, 256 - (p + fwd * n)::INT) AS forth FROM v),
+y AS (SELECT *, coalesce(list_min(list_filter(range(1, 256 - t1 + 1), lambda i: substr(seq, t1 + i, 1) <> substr(forth, i, 1))) - 1, 256 - t1) AS more, fwd + back AS has FROM w),
+z AS (SELECT *, t0 + more AS a, t1 + more AS b, substr(unit, 1 + more % n) || substr(unit, 1, more % n) AS rolled, coding AND n % 3 <> 0 AS gate FROM y)
+"""
+
+
+@query("m7_repeats", _TRACT + """SELECT k, CASE WHEN copies = has THEN 'unchanged' WHEN copies = has + 1 THEN 'dup' WHEN copies < has THEN CASE WHEN has - copies >= 2 AND copies >= 1 AND NOT gate THEN 'repeat' ELSE 'del' END WHEN gate THEN 'ins' ELSE 'repeat' END AS edit,
+  CASE WHEN copies = has + 1 THEN b - n WHEN copies < has AND NOT (has - copies >= 2 AND copies >= 1 AND NOT gate) THEN b - (has - copies) * n WHEN copies > has + 1 AND gate THEN b ELSE a END::INT AS s, b::INT AS e,
+  CASE WHEN copies = has + 1 THEN '' WHEN copies < has AND NOT (has - copies >= 2 AND copies >= 1 AND NOT gate) THEN '' WHEN copies > has + 1 AND gate THEN repeat(rolled, copies - has) ELSE rolled END AS alt FROM z""", "sequences")
+def m7(spark, d):
+    """Stated copies of the unit found at a place."""
+    x = seqs(spark, d).select("k", "seq", ((c("k") * 11) % 180 + 3).cast("int").alias("p"), (1 + c("k") % 3).cast("int").alias("n"), (c("k") % 5).cast("int").alias("copies"), (c("k") % 2 == 0).alias("coding"))
+    x = x.withColumn("unit", S.part(c("seq"), c("p"), c("n")))
+    return x.select("k", S.repeat_edit(c("seq"), c("p"), c("unit"), c("copies"), c("coding")).alias("r")).select("k", "r.edit", "r.s", "r.e", "r.alt")
+
+
+_UNITS = """, x AS (SELECT k, seq, ((k * 13) % 200 + 5)::INT AS s, repeat(substr(seq, ((k * 13) % 200 + 5 - k % 3)::INT, (1 + k % 3)::INT), (1 + k % 4)::INT) AS alt, k % 2 = 0 AS coding FROM sequences),
+y AS (SELECT *, substr(seq, s + 1) AS rest, substr(repeat(alt, 260), 1, 256 - s) AS again FROM x),
+z AS (SELECT *, coalesce(list_min(list_filter(range(1, length(rest) + 1), lambda i: substr(rest, i, 1) <> substr(again, i, 1))) - 1, length(rest)) AS more FROM y),
+v AS (SELECT k, seq, coding, s + more AS p, substr(alt, 1 + more % length(alt)) || substr(alt, 1, more % length(alt)) AS alt FROM z),
+u AS (SELECT *, list_min(list_filter(range(1, length(alt) + 1), lambda m: length(alt) % m = 0 AND repeat(substr(alt, 1, m), length(alt) // m) = alt)) AS n FROM v),
+w AS (SELECT *, substr(alt, 1, n) AS unit, list_max(list_filter(range(0, 250), lambda m: m * n <= p AND substr(seq, (p - m * n + 1)::INT, (m * n)::INT) = repeat(substr(alt, 1, n), m))) AS held FROM u),
+f AS (SELECT *, length(alt) >= 2 * n AND held > 0 AND NOT (coding AND n % 3 <> 0) AS fits FROM w)
+"""
+
+
+@query("m6_insertion_to_repeat", _UNITS + "SELECT k, CASE WHEN fits THEN 'repeat' ELSE 'ins' END AS edit, CASE WHEN fits THEN p - held * n ELSE p END::INT AS s, p::INT AS e, CASE WHEN fits THEN unit ELSE alt END AS alt, CASE WHEN fits THEN held + length(alt) // n END::INT AS copies FROM f", "sequences")
+def m6(spark, d):
+    """Copies of what lies before a place, inserted there."""
+    x = seqs(spark, d).select("k", "seq", ((c("k") * 13) % 200 + 5).cast("int").alias("s"), (c("k") % 2 == 0).alias("coding"))
+    unit = F.substring("seq", (c("s") - c("k") % 3).cast("int"), (1 + c("k") % 3).cast("int"))
+    x = x.withColumn("payload", F.repeat(unit, (1 + c("k") % 4).cast("int")))
+    return x.select("k", S.insertion_to_repeat(c("seq"), c("s"), c("payload"), c("coding")).alias("r")).select("k", "r.*")
