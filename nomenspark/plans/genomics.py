@@ -171,7 +171,14 @@ def u1(spark, d):
     return L.lift(lift_points(spark, d), t(spark, d, "chain_blocks"), "vid", "contig", "p1")
 
 
-@query("u2_lift_intervals")
+@query("u2_lift_intervals", """, spans AS (SELECT DISTINCT chain, score, t_name, q_name, q_strand, q_size, t_lo, t_hi FROM chain_blocks),
+pts AS (SELECT vid, m[1] AS contig, m[2] AS p1, m[3] AS len FROM (SELECT vid, min((contig, p1, len)) AS m FROM lifts GROUP BY vid)),
+ends AS (SELECT vid, 'a' AS w, contig, p1 AS p FROM pts UNION ALL SELECT vid, 'b', contig, p1 + len FROM pts),
+best AS (SELECT vid, w, p, arg_max(chain, (score, chain)) AS chain FROM ends JOIN spans ON contig = t_name AND p - 1 >= t_lo AND p - 1 < t_hi GROUP BY vid, w, p),
+lifted AS (SELECT b.vid, b.w, b.chain, max(q_name) AS q_name, max(CASE WHEN p - 1 >= t0 AND p - 1 < t1 THEN CASE q_strand WHEN '-' THEN q_size - (q0 + p - 1 - t0) ELSE q0 + p - t0 END END) AS q FROM best b JOIN chain_blocks c ON b.chain = c.chain GROUP BY b.vid, b.w, b.chain),
+j AS (SELECT p.vid, a.chain AS ac, b.chain AS bc, a.q AS aq, b.q AS bq, a.q_name AS name FROM pts p LEFT JOIN lifted a ON a.vid = p.vid AND a.w = 'a' LEFT JOIN lifted b ON b.vid = p.vid AND b.w = 'b'),
+k AS (SELECT *, CASE WHEN ac IS NULL AND bc IS NULL THEN 'no_chain' WHEN ac IS DISTINCT FROM bc THEN 'split' WHEN aq IS NOT NULL AND bq IS NOT NULL THEN 'success' WHEN aq IS NOT NULL OR bq IS NOT NULL THEN 'partial' ELSE 'unmappable' END AS status FROM j)
+SELECT vid, status, CASE WHEN status = 'success' THEN name END AS contig, CASE WHEN status = 'success' THEN least(aq, bq) END AS lo, CASE WHEN status = 'success' THEN greatest(aq, bq) END AS hi, CASE WHEN status = 'partial' THEN 0.5::DOUBLE END AS fraction FROM k""", "lifts", "chain_blocks")
 def u2(spark, d):
     """Both ends: success if they lift by one chain (in ascending order), partial if one does, else unmappable; split across
     chains, or no chain at all."""
@@ -227,3 +234,29 @@ def t2(spark, d):
     x = v.join(t(spark, d, "transcripts").where("cds_start IS NOT NULL").select("k", "tx", "cds_start"), "k")
     n = c("cds_start") + c("s") - 1
     return x.select("vid", D.write(c("tx"), F.lit("n"), n, n, c("edit"), c("ref"), c("alt")).alias("description"))
+
+
+@query("e5_zones", "SELECT CASE WHEN off IS NOT NULL THEN 'intron' WHEN utr3 THEN '3_utr' WHEN base < 0 THEN '5_utr' ELSE 'coding' END AS zone, count(*) AS n FROM cpos GROUP BY 1", "cpos", "transcripts")
+def e5(spark, d):
+    zone = F.when(c("off").isNotNull(), "intron").when(c("utr3"), "3_utr").when(c("base") < 0, "5_utr").otherwise("coding")
+    return t(spark, d, "cpos").groupBy(zone.alias("zone")).agg(F.count("*").alias("n"))
+
+
+@query("e7_cancelling_pairs", "SELECT a.vid AS deletion, b.vid AS duplication FROM variants a JOIN variants b ON a.s = b.s AND a.e = b.e AND a.axis = b.axis AND left(a.acc, 2) = left(b.acc, 2) WHERE a.edit = 'del' AND b.edit = 'dup' AND a.s % 50 = 7", "variants")
+def e7(spark, d):
+    """A deletion and a duplication of the same bases cancel one another in an allele."""
+    v = t(spark, d, "variants").where("s % 50 = 7").select("vid", "s", "e", "axis", "edit", F.substring("acc", 1, 2).alias("kind"))
+    a = v.where("edit = 'del'").select(c("vid").alias("deletion"), "s", "e", "axis", "kind")
+    return a.join(v.where("edit = 'dup'").select(c("vid").alias("duplication"), "s", "e", "axis", "kind"), ["s", "e", "axis", "kind"]).select("deletion", "duplication")
+
+
+@query("h2_intron_spelling_to_position", """, x AS (SELECT tx, cds_start, 1 + k % 2 AS intron, CASE WHEN k % 3 = 0 THEN 5 ELSE -4 END AS off FROM transcripts WHERE cds_start IS NOT NULL)
+SELECT x.tx, intron::INT AS intron, off::BIGINT AS off, CASE WHEN off > 0 THEN t1 ELSE t1 + 1 END - cds_start + 1 AS base FROM x JOIN exons e ON e.tx = x.tx AND e.number = intron""", "transcripts", "exons")
+def h2(spark, d):
+    """c.IVS1+5G>A as the exon's last base and an offset, c.IVS1-4G>A as the next one's first."""
+    text = F.expr("concat('c.IVS', 1 + k % 2, CASE WHEN k % 3 = 0 THEN '+5' ELSE '-4' END, 'G>A')")
+    intron, off = D.intron_spelling(text)
+    x = t(spark, d, "transcripts").where("cds_start IS NOT NULL").select("tx", "cds_start", intron.alias("intron"), off.alias("off"))
+    e = t(spark, d, "exons").select("tx", c("number").alias("intron"), "t1")
+    base = F.when(c("off") > 0, c("t1")).otherwise(c("t1") + 1) - c("cds_start") + 1
+    return x.join(e, ["tx", "intron"]).select("tx", "intron", "off", base.alias("base"))
