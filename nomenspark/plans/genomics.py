@@ -260,3 +260,39 @@ def h2(spark, d):
     e = t(spark, d, "exons").select("tx", c("number").alias("intron"), "t1")
     base = F.when(c("off") > 0, c("t1")).otherwise(c("t1") + 1) - c("cds_start") + 1
     return x.join(e, ["tx", "intron"]).select("tx", "intron", "off", base.alias("base"))
+
+
+@query("k8_sole_transcript_of_gene", "SELECT gene, min(tx) AS tx FROM transcripts WHERE mane <> 'none' GROUP BY gene HAVING count(*) = 1", "transcripts")
+def k8(spark, d):
+    """The transcript of each gene that has exactly one with a MANE status."""
+    x = t(spark, d, "transcripts").where("mane <> 'none'").groupBy("gene").agg(F.count("*").alias("n"), F.min("tx").alias("tx"))
+    return x.where("n = 1").select("gene", "tx")
+
+
+@query("k9_transcripts_by_contig", "SELECT contig, count(*) AS n, count(DISTINCT regexp_replace(tx, '\\.\\d+$', '')) AS bases, min(g0) AS first, count(*) FILTER (strand = -1) AS minus FROM transcripts GROUP BY contig", "transcripts")
+def k9(spark, d):
+    x = t(spark, d, "transcripts")
+    return x.groupBy("contig").agg(F.count("*").alias("n"), F.count_distinct(D.base_accession(c("tx"))).alias("bases"), F.min("g0").alias("first"), F.count_if(c("strand") == -1).alias("minus"))
+
+
+@query("j13_placement", "SELECT vid, tx, CASE WHEN strand = 1 THEN g - g0 ELSE g0 + len1 + len2 + len3 + 400 - g + 1 END AS inner_pos, g AS back FROM points p JOIN transcripts x ON p.contig = x.contig AND g > g0 AND g <= g0 + len1 + len2 + len3 + 400", "points", "transcripts")
+def j13(spark, d):
+    """Contig positions in the frame of a placed region, on its strand, and back."""
+    x = hits(spark, d)
+    inner = F.when(c("strand") == 1, c("g") - c("g0")).otherwise(c("g1") - c("g") + 1)
+    back = F.when(c("strand") == 1, c("inner_pos") + c("g0")).otherwise(c("g1") - c("inner_pos") + 1)
+    return x.select("vid", "tx", "strand", "g0", "g1", inner.alias("inner_pos")).select("vid", "tx", "inner_pos", back.alias("back"))
+
+
+@query("t1_edit_on_minus_strand", "SELECT vid, translate(reverse(alt), 'ACGT', 'TGCA') AS alt, 5000 - e + 1 AS s, 5000 - s + 1 AS e FROM variants WHERE edit IN ('ins', 'delins')", "variants")
+def t1(spark, d):
+    """An edit seen from the other strand of a region of 5,000 bases."""
+    v = t(spark, d, "variants").where("edit IN ('ins', 'delins')")
+    return v.select("vid", S.reverse_complement(c("alt")).alias("alt"), (5000 - c("e") + 1).alias("s"), (5000 - c("s") + 1).alias("e"))
+
+
+@query("n2_trim_window", "SELECT vid, substr(seq, s - 9, 10) AS left_flank, substr(seq, e + 1, 10) AS right_flank, substr(seq, s + 1, e - s) AS ref FROM edits", "edits")
+def n2(spark, d):
+    """The bases of an edit and ten on either side."""
+    x = t(spark, d, "edits")
+    return x.select("vid", S.part(c("seq"), c("s") - 10, F.lit(10)).alias("left_flank"), S.part(c("seq"), c("e"), F.lit(10)).alias("right_flank"), S.part(c("seq"), c("s"), c("e") - c("s")).alias("ref"))
