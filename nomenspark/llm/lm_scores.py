@@ -10,6 +10,9 @@ Counts leave out the document that is scored. The score of a word after a contex
 times the score after the context without its first word; a single word has its count by the number of words, and one
 that no other document holds counts as one.
 
+Texts, keys, counts and totals are exchanged as zstd blocks, which is most of what lets trigrams through: keys are 64-bit
+hashes at every length, so nothing is rounded or dropped.
+
 A slice and a hash partition fit a task; their number grows with the corpus. Nothing but two totals reaches the driver.
 
 Defined results: words are lower-cased within ASCII; a null or empty text, or one without words, has 0 words, score 0 and
@@ -31,9 +34,33 @@ from .common import WORD, text_of
 from .minhash import LOWER, grouped, mix
 
 SLICE_BYTES, LEAST_SLICES, BACKOFF = 8 << 20, 32, 0.4
+CODEC = pa.Codec("zstd", 3)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def squeeze(data: bytes) -> bytes:
+    """A zstd block after its length."""
+    return len(data).to_bytes(8, "little") + CODEC.compress(data, asbytes=True)
+
+
+def loosen(data: bytes) -> bytes:
+    return CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
+    """Texts, plain or as blocks."""
+    return [loosen(x).decode() if isinstance(x, bytes) else x for x in column.to_pylist()]
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, byte planes apart, as a block."""
+    return squeeze(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(loosen(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, words of each text)"""
     flat, lens = [], []
@@ -87,8 +114,8 @@ def distinct_grams(sliced: DataFrame, order: int, parts: int) -> DataFrame:
                 some = np.flatnonzero(np.diff(ends))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(some, pa.int64()), "slice": pa.array([at] * len(some), pa.int64()), "n": pa.array([n] * len(some), pa.int32()),
-                    "keys": pa.array([pack(keys[ends[p] : ends[p + 1]]) for p in some], pa.binary()),
-                    "counts": pa.array([counts[ends[p] : ends[p + 1]].astype(np.int64).tobytes() for p in some], pa.binary()),
+                    "keys": pa.array([squeeze(pack(keys[ends[p] : ends[p + 1]])) for p in some], pa.binary()),
+                    "counts": pa.array([planes(counts[ends[p] : ends[p + 1]]) for p in some], pa.binary()),
                 })
 
         for batch in batches:
@@ -99,7 +126,7 @@ def distinct_grams(sliced: DataFrame, order: int, parts: int) -> DataFrame:
                         yield from done()
                         held = []
                     at = own.column("slice")[0].as_py()
-                    held.append(tokens(own.column("text").to_pylist()))
+                    held.append(tokens(texts_of(own.column("text"))))
         if held:
             yield from done()
 
@@ -111,8 +138,8 @@ def merged(t: pa.Table) -> Iterator[tuple[int, list[int], list[np.ndarray], np.n
     n = t.column("n").to_numpy()
     for k in np.unique(n).tolist():
         rows = np.flatnonzero(n == k).tolist()
-        keys = [unpack(t.column("keys")[r].as_py()) for r in rows]
-        counts = np.concatenate([np.frombuffer(t.column("counts")[r].as_py(), np.int64) for r in rows])
+        keys = [unpack(loosen(t.column("keys")[r].as_py())) for r in rows]
+        counts = np.concatenate([from_planes(t.column("counts")[r].as_py()) for r in rows])
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(every), np.int64)
         np.add.at(total, where, counts)
@@ -130,8 +157,7 @@ def answers(blocks: DataFrame) -> DataFrame:
                 out["slice"].append(slices_[r])
                 out["n"].append(n)
                 out["part"].append(part)
-                got = total[np.searchsorted(every, own)]
-                out["totals"].append(np.ascontiguousarray(got.view(np.uint8).reshape(-1, 8).T).tobytes())
+                out["totals"].append(planes(total[np.searchsorted(every, own)]))
         return pa.table({"slice": pa.array(out["slice"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "part": pa.array(out["part"], pa.int64()), "totals": pa.array(out["totals"], pa.binary())})
 
     return blocks.groupBy("part").applyInArrow(run, "slice long, n int, part long, totals binary")
@@ -173,6 +199,17 @@ def backoff(keys: list[np.ndarray], totals: list[np.ndarray], doc: np.ndarray, l
     return np.log(score), used
 
 
+def packed(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows with their texts as blocks. kind: the key's type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = pa.array([squeeze(x.as_py().encode()) for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), blocks, batch.column("slice")], ["key", "text", "slice"])
+
+    return rows.select("key", "text", "slice").mapInArrow(run, f"key {kind}, text binary, slice long")
+
+
 def score(docs: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_top (words scored by an n-gram of full order), log_score (sum of natural logs) and mean_log of
     every row. order is the longest n-gram's length."""
@@ -182,20 +219,20 @@ def score(docs: DataFrame, order: int = 2, key: str = "doc_id", text: str = "tex
     parts = max(LEAST_SLICES, -(-(size or 0) // SLICE_BYTES))
     words = words or 0
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("key", "text"), F.lit(parts)).cast("long"))
-    sliced = sliced.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice")
-    back = answers(distinct_grams(sliced, order, parts))
     kind = rows.schema["key"].dataType.simpleString()
+    sliced = packed(sliced, kind).repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice")
+    back = answers(distinct_grams(sliced, order, parts))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = left.column("key").combine_chunks()
-        flat, lens = tokens(left.column("text").to_pylist())
+        flat, lens = tokens(texts_of(left.column("text")))
         if not len(flat):
             zero = np.zeros(len(lens), np.int64)
             return pa.table({"key": own, "n_words": zero, "n_top": zero, "log_score": zero.astype(float)})
         order_ = np.lexsort((right.column("part").to_numpy(), right.column("n").to_numpy()))
         n = right.column("n").to_numpy()[order_]
-        planes = right.column("totals").to_pylist()
-        got = [np.ascontiguousarray(np.frombuffer(planes[r], np.uint8).reshape(8, -1).T).view(np.int64).ravel() for r in order_]
+        blocks = right.column("totals").to_pylist()
+        got = [from_planes(blocks[r]) for r in order_]
         totals = [np.concatenate([np.empty(0, np.int64), *(g for g, m in zip(got, n, strict=True) if m == k)]) for k in range(1, order + 1)]
         doc = np.repeat(np.arange(len(lens)), lens)
         log, used = backoff(grams(flat, lens, order), totals, doc, lens, words)

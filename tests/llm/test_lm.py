@@ -74,3 +74,19 @@ def test_texts_are_dealt_once(spark, sf):
     """Both readings of the slices use one exchange."""
     plan = score(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_registered_trigrams_see_shuffled_text(spark, sf):
+    """The longer query equals the plain version on the tables, reads its texts once, and goes below a chain of common
+    pairs where no trigram of it occurs, which bigrams cannot tell."""
+    from nomenspark.llm.queries import queries
+
+    df = queries()["op7_lm_scores_order3"](spark, sf)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {(x.doc_id, x.n_words, x.n_top): x.log_score for x in df.collect()}
+    for key, n, top, log in brute(rows, 3):
+        assert abs(got[key, n, top] - log.expected) < 0.001
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    pairs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b q", "r b c", "s b q", "t b c", "a b u", "a b c"])], "doc_id long, text string")
+    at = lambda order: {x.doc_id: x.n_top for x in score(pairs, order).collect()}
+    assert at(2)[5] == 2 and at(3)[5] == 0
