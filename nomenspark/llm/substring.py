@@ -1,14 +1,15 @@
-"""Substring dedup by content-defined chunking with a gear rolling hash.
+"""Substring dedup: content-defined chunks with a gear rolling hash, and the exact bounds of repeated passages.
 
 A text's bytes are cut where the gear hash of the last 16 of them has its top 5 bits clear, so that a chunk holds about
-32 bytes and its bounds depend on nearby bytes alone: after an insertion the same cuts come back. Chunks are told by
-64-bit digests. Digests that occur in two or more documents are found by a partially aggregated count; their occurrences
-are joined back, and runs of neighbouring repeated chunks are the repeated spans. A single short chunk is no passage: a
-span counts from min_words words on. As a passage's ends share chunks with what surrounds them, a shared passage
-loses up to some 15 words on its spans; min_words must be below the length to be caught by as much.
+32 bytes and its bounds depend on nearby bytes alone: after an insertion the same cuts come back. Chunks are told by 64-bit
+digests, and those that occur in two or more rows are counted.
 
-What is shuffled are 8-byte digests with row numbers, never texts; a digest that is very common is one group of a
-partial aggregate, and one skewed join key, which Spark splits.
+Spans do not rest on chunks, whose cuts can all fall outside of a short passage. Every window of min_words words has a 64-bit
+hash; a word that lies in a window which other rows hold too is repeated, and runs of repeated words are the spans. So every
+shared passage of min_words words or more is found, from its first word to its last. What a row repeats of itself is told apart.
+
+Texts are dealt to slices by a hash; a slice sends its distinct hashes, packed, to hash partitions, which answer it with a code
+for each. A frequent window is one entry of a slice, so no key is hot.
 
 Defined results: a null or empty text has no chunks; very long texts are cut whole; rows that share a doc_id are documents of
 their own; equal documents repeat one another wholly; an empty table gives none; other columns are passed by.
@@ -16,15 +17,14 @@ their own; equal documents repeat one another wholly; an empty table gives none;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, text_of
+from .common import Scratch, text_of
+from .lm_scores import LEAST_SLICES, SLICE_BYTES, bounds, from_planes, loosen, pack, packed, planes, squeeze, texts_of, unpack
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 5, 12, 192
 GEAR = np.random.default_rng(20260101).integers(0, 1 << WINDOW, 256, np.uint32).astype(np.uint16)
@@ -52,74 +52,143 @@ def cut_points(data: np.ndarray) -> np.ndarray:
     return bounds[1:]
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, ends, words (begun in each chunk) and digests of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ends, words, digests = [], [], []
-                for text in part.column("text").to_pylist():
-                    raw = text.encode()
-                    data = np.frombuffer(raw, np.uint8)
-                    to = cut_points(data)
-                    at = np.concatenate([[0], to])
-                    gap = (data == 32) | ((data >= 9) & (data <= 13))
-                    begun = ~gap
-                    begun[1:] &= gap[:-1]
-                    total = np.concatenate([[0], np.cumsum(begun)])
-                    ends.append(to.astype(np.int32))
-                    words.append((total[at[1:]] - total[at[:-1]]).astype(np.int32))
-                    digests.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at[:-1].tolist(), to.tolist(), strict=True)), np.uint64, len(to)).view(np.int64))
-                yield pa.RecordBatch.from_pydict({
-                    "rid": part.column("rid"), "doc_id": part.column("doc_id"), "ends": pa.array(ends, pa.list_(pa.int32())),
-                    "words": pa.array(words, pa.list_(pa.int32())), "digests": pa.array(digests, pa.list_(pa.int64())),
-                })
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "rid long, doc_id long, ends array<int>, words array<int>, digests array<long>")
-
-
-def runs(places: np.ndarray, later: np.ndarray, ends: np.ndarray, words: np.ndarray, least: int) -> list[dict]:
-    """Spans of neighbouring repeated chunks of least words or more; later: the chunk has occurred before."""
-    order = np.argsort(places)
-    places, later = places[order], later[order]
-    out = []
-    for own in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) > 1) + 1):
-        a, b = places[own[0]], places[own[-1]]
-        if (n := int(words[a : b + 1].sum())) >= least:
-            out.append({"start": int(ends[a - 1]) if a else 0, "end": int(ends[b]), "words": n, "first": 2 * int(later[own].sum()) < len(own)})
-    return out
+STEP = np.uint64(0x9E3779B97F4A7C15)
+WINDOWS, CHUNKS = 1, 2  # kinds of hashes
+LAST = (1 << 63) - 1  # null ids come last
+
+
+class Slice:
+    """The texts of one slice by doc_id: words, windows of k words and chunks, each with its row."""
+
+    def __init__(self, t: pa.Table, k: int):
+        texts, ids = texts_of(t.column("text")), t.column("key").to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
+        self.ids = [ids[i] for i in order]
+        rank = np.array([LAST if i is None else i for i in self.ids], np.int64)
+        hashes, starts, stops, digests, lens, self.n_chunks = [], [], [], [], [], []
+        for raw in (texts[i].encode() for i in order):
+            data = np.frombuffer(raw, np.uint8)
+            word = np.concatenate([[False], ~((data == 32) | ((data >= 9) & (data <= 13))), [False]])
+            edge = np.flatnonzero(word[1:] != word[:-1])
+            starts.append(edge[::2])
+            stops.append(edge[1::2])
+            lens.append(len(edge) // 2)
+            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, raw.split()), np.uint64, lens[-1]))
+            to = cut_points(data).tolist()
+            digests.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip([0, *to[:-1]], to, strict=True)), np.uint64, len(to)))
+            self.n_chunks.append(len(to))
+        self.starts, self.stops, flat = np.concatenate(starts), np.concatenate(stops), np.concatenate(hashes)
+        self.lens, self.k = np.array(lens, np.int64), k
+        row = np.repeat(np.arange(len(lens)), self.lens)
+        left = np.repeat(np.cumsum(self.lens), self.lens) - np.arange(len(flat))  # words to the text's end
+        self.at = np.flatnonzero(left >= k)  # first words of windows
+        key, power = np.zeros(len(self.at), np.uint64), 1
+        for j in range(k):
+            key += flat[self.at + j] * np.uint64(power)
+            power = power * int(STEP) % (1 << 64)
+        self.window_row = row[self.at]
+        self.windows, self.first, self.where, rows = self.distinct(key, self.window_row)
+        self.chunk_row = np.repeat(np.arange(len(lens)), self.n_chunks)
+        chunks, _, self.chunk_where, chunk_rows = self.distinct(np.concatenate(digests), self.chunk_row)
+        self.sent = {WINDOWS: (self.windows, rows, rank[self.window_row[self.first]]), CHUNKS: (chunks, chunk_rows, np.zeros(len(chunks), np.int64))}
+
+    @staticmethod
+    def distinct(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, first place and place of each, 1 or 2 rows that hold it, where 2 stands for more)"""
+        every, first, where = np.unique(keys, return_index=True, return_inverse=True)
+        last = np.zeros(len(every), np.int64)
+        np.maximum.at(last, where, row)
+        return every, first, where, 1 + (last > row[first])
+
+    def spans(self, hit: np.ndarray, later: np.ndarray) -> list[list[dict]]:
+        """Runs of the words of some windows, by row; later: of each of them, that it has occurred before."""
+        at, row, out = self.at[hit], self.window_row[hit], [[] for _ in self.lens]
+        new = np.flatnonzero((np.diff(at) > self.k) | (np.diff(row) > 0)) + 1
+        for own in np.split(np.arange(len(at)), new) if len(at) else []:
+            a, b = at[own[0]], at[own[-1]] + self.k
+            out[row[own[0]]].append({"start": int(self.starts[a]), "end": int(self.stops[b - 1]), "words": int(b - a), "first": 2 * int(later[own].sum()) < len(own)})
+        return out
+
+    def found(self, codes: dict[int, np.ndarray]) -> tuple[np.ndarray, list[list[dict]], list[list[dict]]]:
+        """(repeated chunks, spans, spans that the row itself holds before) of each row. codes: of the distinct hashes; 1:
+        repeated, 2: first of all here."""
+        repeated = np.bincount(self.chunk_row, codes[CHUNKS][self.chunk_where] & 1, len(self.lens)).astype(np.int64)
+        code = codes[WINDOWS][self.where]
+        hit = np.flatnonzero(code & 1)
+        later = (code[hit] & 2 == 0) | (self.first[self.where[hit]] != hit)
+        again = np.ones(len(self.where), bool)
+        again[np.unique(self.where * np.int64(len(self.lens)) + self.window_row, return_index=True)[1]] = False
+        within = np.flatnonzero(again)
+        return repeated, self.spans(hit, later), self.spans(within, again[within])
 
 
 SPANS = "array<struct<start:int,end:int,words:int,first:boolean>>"
 
 
+def sent(sliced: DataFrame, parts: int, k: int) -> DataFrame:
+    """part, slice, kind and, packed, the distinct hashes of each slice with their counts and first ids."""
+
+    def run(t: pa.Table) -> pa.Table:
+        at, out = t.column("slice")[0].as_py(), []
+        for kind, (keys, counts, ids) in Slice(t, k).sent.items():
+            ends = np.concatenate([[0], np.searchsorted(keys, bounds(parts)), [len(keys)]])
+            for p in np.flatnonzero(np.diff(ends)).tolist():
+                own = slice(ends[p], ends[p + 1])
+                out.append((p, at, kind, squeeze(pack(keys[own])), planes(counts[own]), planes(ids[own])))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, x) for c, x in zip(columns, types, strict=True)], ["part", "slice", "kind", "keys", "counts", "ids"])
+
+    return sliced.groupBy("slice").applyInArrow(run, "part long, slice long, kind int, keys binary, counts binary, ids binary")
+
+
+def answers(blocks: DataFrame) -> DataFrame:
+    """slice, part, kind and the codes of the slice's hashes in that partition."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out, kinds, slices_ = [], t.column("kind").to_numpy(), t.column("slice").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            rows = np.flatnonzero(kinds == kind)
+            rows = rows[np.argsort(slices_[rows], kind="stable")]
+            keys = [unpack(loosen(t.column("keys")[r].as_py())) for r in rows.tolist()]
+            counts, ids = (np.concatenate([from_planes(t.column(c)[r].as_py()) for r in rows.tolist()]) for c in ("counts", "ids"))
+            every, where = np.unique(np.concatenate(keys), return_inverse=True)
+            again = np.bincount(where, counts, len(every)) >= 2
+            order = np.lexsort((np.arange(len(ids)), ids, where))  # by id, then slice
+            first = np.zeros(len(ids), bool)
+            first[order[np.concatenate([[True], np.diff(where[order]) > 0])]] = True
+            codes = (again[where] + 2 * first).astype(np.uint8)
+            codes[~again[where]] = 0
+            for r, own in zip(rows.tolist(), np.split(codes, np.cumsum([len(x) for x in keys])[:-1]), strict=True):
+                out.append((int(slices_[r]), t.column("part")[r].as_py(), kind, squeeze(own.tobytes())))
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.table([pa.array(c, x) for c, x in zip(zip(*out, strict=True), types, strict=True)], ["slice", "part", "kind", "codes"])
+
+    return blocks.groupBy("part").applyInArrow(run, "slice long, part long, kind int, codes binary")
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, min_words: int = 25) -> DataFrame:
-    """doc_id, n_chunks, n_repeated (chunks that other documents hold too) and spans of every row: byte ranges of
-    min_words words or more that repeat in other documents; first: most of it occurs here for the first time, by doc_id."""
-    table = scratch.table(chunked(docs), "chunks")
-    each = table.select("rid", "doc_id", F.posexplode("digests").alias("place", "digest"))
-    ends = each.groupBy("digest").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-    common = scratch.table(ends.where("lo <> hi").select("digest"), "common")
-    hits = scratch.table(each.join(common, "digest"), "hits")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "place")
-    first = hits.groupBy("digest").agg(F.min(order).alias("f"))
-    marked = hits.join(first, "digest").select("rid", F.struct("place", ((F.col("rid") != F.col("f.rid")) | (F.col("place") != F.col("f.place"))).alias("later")).alias("hit"))
-    by_row = marked.groupBy("rid").agg(F.collect_list("hit").alias("hits"))  # at most the chunks of one text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first", pa.bool_())]))
-        for batch in batches:
-            spans = []
-            for hits_, ends_, words in zip(*(batch.column(c) for c in ("hits", "ends", "words")), strict=True):
-                if not hits_.is_valid:
-                    spans.append([])
-                    continue
-                places, later = hits_.values.field("place").to_numpy(), hits_.values.field("later").to_numpy(zero_copy_only=False)
-                spans.append(runs(places, later, ends_.values.to_numpy(), words.values.to_numpy(), min_words))
-            repeated = pa.compute.list_value_length(batch.column("hits")).fill_null(0).cast(pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_chunks": pa.compute.list_value_length(batch.column("ends")).cast(pa.int64()), "n_repeated": repeated, "spans": pa.array(spans, kind)})
-
-    joined = table.select("rid", "doc_id", "ends", "words").join(by_row, "rid", "left").select("doc_id", "ends", "words", "hits")
-    return joined.mapInArrow(run, f"doc_id long, n_chunks long, n_repeated long, spans {SPANS}")
+    """doc_id, n_chunks, n_repeated (chunks that other rows hold too), spans and within of every row. spans: byte ranges of
+    min_words words or more that other rows hold too; first: most of it occurs here for the first time, by doc_id. within:
+    those that the row itself holds before. scratch is not written to."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), text_of().alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(LEAST_SLICES, -(-size // SLICE_BYTES))
+    dealt = packed(rows.withColumn("slice", F.pmod(F.xxhash64("key", "text"), F.lit(parts)).cast("long")), "bigint")
+    sliced = dealt.repartition(max(parts, int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))), "slice")
+    back = answers(sent(sliced, parts, min_words))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, part, kinds = Slice(left, min_words), right.column("part").to_numpy(), right.column("kind").to_numpy()
+        codes = {}
+        for kind, (keys, _, _) in own.sent.items():
+            at = np.flatnonzero(kinds == kind)
+            blocks = [loosen(right.column("codes")[r].as_py()) for r in at[np.argsort(part[at])].tolist()]
+            codes[kind] = np.frombuffer(b"".join(blocks), np.uint8)
+            if len(codes[kind]) != len(keys):
+                raise ValueError("a slice and its answers disagree")
+        repeated, spans, within = own.found(codes)
+        of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first", pa.bool_())]))
+        return pa.table({"doc_id": pa.array(own.ids, pa.int64()), "n_chunks": pa.array(own.n_chunks, pa.int64()), "n_repeated": repeated, "spans": pa.array(spans, of), "within": pa.array(within, of)})
+
+    return sliced.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(run, f"doc_id long, n_chunks long, n_repeated long, spans {SPANS}, within {SPANS}")

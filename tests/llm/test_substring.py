@@ -78,3 +78,18 @@ def test_planted_passages(spark):
             inside = text.encode()[s.start : s.end].decode()
             assert len(set(inside.split()) & set(passage.split())) >= 25 and s.end - s.start <= len(passage) + 2 * substring.MOST
     assert substring.repeated_spans(df.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_every_short_passage_is_found_whole(spark):
+    """Passages of 51 words of two to four letters, each in two texts, and one that a text repeats within itself."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 5)))
+    passages = [" ".join(word() for _ in range(51)) for _ in range(60)]
+    rows = [(i, f"A{i} " + " ".join(word() for _ in range(40)) + f" B{i} {passages[i % 60]} C{i} " + " ".join(word() for _ in range(40))) for i in range(120)]
+    rows.append((200, f"X {passages[0][::-1]} Y {passages[0][::-1]} Z"))
+    got = {x.doc_id: x for x in substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test")).collect()}
+    for i, text in rows[:-1]:
+        assert [text.encode()[s.start : s.end].decode() for s in got[i].spans] == [passages[i % 60]]
+        assert [(s.words, s.first) for s in got[i].spans] == [(51, i < 60)]
+        assert not got[i].within
+    assert not got[200].spans and [(s.words, s.start) for s in got[200].within] == [(51, rows[-1][1].index("Y") + 2)]
