@@ -13,13 +13,15 @@
 5. Components of classes are spread over the documents.
 
 Copies with equal sets are one class, and no step writes down the pairs of a group: blocks give forests. What a task holds
-is two blocks of signatures or sets; nothing but counts reaches the driver. Texts are joined to the clustered doc_ids by
+is two blocks of signatures or sets; nothing but counts reaches the driver. Texts are joined to the clustered rows by
 shuffle, never by broadcast. Every step is a table in the shared folder. At a similarity of exactly 0.8, 24 bands of 5
 miss a pair with probability 7e-5, and the estimate's margin another 3e-5; both fall fast above it.
 
-Defined results: a null or empty text, or one without words, has the empty set and links with nothing; fewer words than
-the shingle length make one shingle; very long texts are taken whole; rows that share a doc_id are one document of several
-sets; a null doc_id links with nothing and is kept; an empty table gives none; other columns are passed by.
+Defined results: every row is a document of its own, also where rows share a doc_id or have none, so the verdict of one
+text never falls on another. A component has the smallest doc_id that its rows have, null if they have none, and one row
+that is its first: that of the smallest doc_id, of equal ones (repeated rows) the first in the table. A null or empty
+text, or one without words, has the empty set and links with nothing; fewer words than the shingle length make one
+shingle; very long texts are taken whole; an empty table gives none; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """rid, doc_id, n_shingles, digest, and for non-empty sets bands and signature, of every row."""
+    """rid, doc_id, n_shingles, digest, and for non-empty sets bands and signature, of every row of rid, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +119,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     "signature": pa.array([packed[r].tobytes() if r >= 0 else None for r in row], pa.binary()),
                 })
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "rid long, doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
-    )
+    return docs.mapInArrow(run, "rid long, doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -306,31 +306,36 @@ def mixed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """cid and the full set of the wanted classes; wanted: cid, doc_id, digest."""
+    """cid and the full set of the wanted classes; docs: rid, text; wanted: cid, which is the rid of a class's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                out: dict[str, list] = {"cid": [], "shingles": []}
-                for cid, digest, text in zip(*(part.column(c).to_pylist() for c in ("cid", "digest", "text")), strict=True):
-                    s = shingle_set(text, k)
-                    if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # rows may share a doc_id
-                        out["cid"].append(cid)
-                        out["shingles"].append(s.view(np.int64))
-                yield pa.RecordBatch.from_pydict({"cid": pa.array(out["cid"], pa.int64()), "shingles": pa.array(out["shingles"], pa.list_(pa.int64()))})
+                sets = [shingle_set(t, k).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"cid": part.column("cid"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted.hint("merge"), "doc_id")
-    return rows.select("cid", "digest", "text").mapInArrow(run, "cid long, shingles array<long>")
+    rows = docs.select(F.col("rid").alias("cid"), "text").join(wanted.select("cid").hint("merge"), "cid")
+    return rows.select("cid", "text").mapInArrow(run, "cid long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept (doc_id is
-    component_id) of every row. Links: 100 * intersection >= percent * union of the k-word shingle sets."""
+def first_of(*cols: str):
+    """The least of rows by doc_id, null last, then by row."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", *cols))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept (doc_id is
+    component_id) and first (the one row of its component that stays) of every row. Links: 100 * intersection >= percent
+    * union of the k-word shingle sets. row names a column of unique numbers, which then is returned too; docs must give
+    the same rows each time it is read. Without it the rows are numbered in a table."""
     threshold = percent / 100
-    drawn = scratch.table(sketches(docs, k), "sketches")
-    # one class for each set: its first document stands for it
+    rows = docs.select((F.col(row).cast("long") if row else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    if not row:
+        rows = scratch.table(rows, "rows")
+    drawn = scratch.table(sketches(rows, k), "sketches")
+    # one class for each set: its first row stands for it
     classes = scratch.table(
-        drawn.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "rid")).alias("m"))
+        drawn.where("n_shingles > 0").groupBy("digest").agg(first_of("rid").alias("m"))
         .select("digest", F.col("m.doc_id").alias("doc_id"), F.col("m.rid").alias("cid")), "classes")
     faces = drawn.select(F.col("rid").alias("cid"), "bands", "signature", F.col("n_shingles").alias("n")).join(classes.select("cid"), "cid", "left_semi")
     keyed = faces.select(F.explode("bands").alias("key"), "cid")
@@ -349,7 +354,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     sized = members.groupBy("cluster").agg(F.count("*").alias("size"))
     wanted = scratch.table(classes.join(members, "cid").join(sized, "cluster"), "wanted")
     # links by full sets
-    sets = scratch.table(shingles(docs, wanted.select("cid", "doc_id", "digest"), k), "sets")
+    sets = scratch.table(shingles(rows, wanted, k), "sets")
     placed = wanted.select("cid", "cluster", "size")
     dealt = blocked(placed.withColumn("deal", F.explode(F.when(F.col("size") > BLOCK, F.sequence(F.lit(1), F.lit(DEALINGS))).otherwise(F.array(F.lit(1))))), "deal")
     dealt = alone(dealt.withColumn("block", F.col("deal") * block_count() + F.col("block"))).withColumn("comp", F.col("cid"))
@@ -359,11 +364,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     left = blocked(rooted.join(mixed(rooted, "cluster"), "cluster", "left_semi"), "cluster")
     more = scratch.table(confirm(all_blocks(left).join(sets.hint("merge"), "cid"), percent), "more")
     final = components(roots.toDF("a", "b").union(more), scratch)
-    # the least doc_id of each component, then of each class's component, then of each row's class
+    # the first row of each component, then of each class's component, then of each row's class
     placed = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    low = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.table(placed.join(low, "root").select("digest", "component_id"), "named")
-    scratch.drop(classes, shared, faced, near, further, wanted, sets, links, more)
-    out = drawn.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    low = placed.groupBy("root").agg(first_of("cid").alias("m"))
+    named = scratch.table(placed.join(low, "root").select("digest", F.col("m.doc_id").alias("component_id"), F.col("m.cid").alias("first")), "named")
+    scratch.drop(classes, shared, faced, near, further, wanted, sets, links, more, *([] if row else [rows]))
+    out = drawn.select("rid", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    own = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select(
+        *([F.col("rid").alias(row)] if row else []), "doc_id", "n_shingles", own.alias("component_id"),
+        F.col("doc_id").eqNullSafe(own).alias("kept"), (F.col("rid") == F.coalesce("first", "rid")).alias("first"),
+    )

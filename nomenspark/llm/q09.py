@@ -9,4 +9,5 @@ SHINGLE, PERCENT = 4, 80
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "minhash"), SHINGLE, PERCENT)
+    found = near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "minhash"), SHINGLE, PERCENT)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

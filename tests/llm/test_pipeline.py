@@ -59,8 +59,17 @@ def test_quality(steps):
 
 
 def test_near_dedup(steps):
-    want = [d for d, _, _, kept in near_brute([(r.doc_id, r.text) for r in steps[1]], 5, 80) if kept]
-    assert sorted(r.doc_id for r in steps[2]) == want
+    want = [x[0] for x in near_brute([(r.doc_id, r.text) for r in steps[1]], 5, 80) if x[4]]
+    assert sorted(r.doc_id for r in steps[2]) == sorted(want)
+
+
+def test_near_dedup_judges_rows_not_doc_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b + " more"), (1, c), (1, c), (None, c), (None, "alone " + a[:90]), (None, None)]
+    docs = Scratch(spark, "test").table(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")), "docs")
+    left = pipeline.near_dedup(spark, docs, None)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(3, a), (5, b), (1, c), (None, "alone " + a[:90]), (None, None)], key=str)
 
 
 def test_secrets(steps):
