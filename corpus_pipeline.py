@@ -7,7 +7,8 @@ lang, source and n_chars ride along; a stage's own columns never meet them, what
 1. quality rules: documents that the default policy of the rule ledger rejects go. Those with a null or empty text have
    no words and go here.
 2. MinHash near-dedup: of each group of documents linked by a similarity of 0.8 or more of their five-word shingles, the
-   one with the smallest doc_id stays. Rows with a null doc_id stay.
+   one with the smallest doc_id stays. Rows are judged and removed one by one, by numbers of their own: of repeated rows
+   one stays, and rows that share a doc_id, or have none, stand and fall by their own texts.
 3. secret scans: findings are masked in the text, and n_chars follows it. All documents stay.
 4. mixing sources to target weights: sources weigh 1, 2, 3, repeating; a document that the mix takes k times becomes k
    rows, one that it does not take goes.
@@ -33,9 +34,11 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    judged = near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "pipeline-minhash"))
-    dropped = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(spark, "pipeline-minhash")
+    rows = scratch.table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    judged = near_duplicates(rows.select("row", "doc.doc_id", "doc.text"), scratch, row="row")
+    stay = judged.where("first").select("row")
+    return rows.join(stay.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def secrets(spark, docs, sf_dir):
