@@ -4,12 +4,15 @@ Texts are cut into pre-tokens. The distinct ones that a worker has not met yet b
 query joins adjacent rows with the merge table and contracts each word's leftmost minimum-rank pair until none is left.
 Decoding joins token rows with the vocabulary and aggregates their bytes in order of position.
 
+Time is linear in a text's length in any script: words are cut where the vocabulary has no token over the cut, and what
+is still long is contracted in overlapping windows (windows.py), which gives the same ids.
+
 No shuffle: a document never leaves its partition. A worker's memory is bounded by the slice of text at hand, by the
-word table (see pretokenize.Words) and by DuckDB's memory limit, beyond which it spills to the worker's own temporary
-folder, which is removed. At a task's end both are given back. A lost executor costs its running tasks only.
+tables of words and pieces (see pretokenize.Words) and by DuckDB's memory limit, beyond which it spills to the worker's
+own temporary folder, which is removed. At a task's end all are given back. A lost executor costs its running tasks only.
 
-Defined results: a null or empty text has no ids and decodes to no bytes; a pre-token of any length is contracted
-whole; repeated rows each get their row; an empty table gives none; other columns are passed by.
+Defined results: a null or empty text has no ids and decodes to no bytes; a pre-token of any length has the ids that it
+would have if contracted whole; repeated rows each get their row; an empty table gives none; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import give_back, slices, text_of
 from .pretokenize import Cutter, Words
+from .windows import Pieces
 
-#: Words of up to so many bytes go through SHORT together, at most BATCH of them a query.
-SHORT_BYTES, BATCH = 48, 20_000
+#: Bytes of the words that go through SHORT together.
+BATCH = 200_000
 
 #: One contraction a round and word. A row is a token at position p, with the next one's position q and id t2 and the
 #: packed pair (rank, p, q) if the two can merge. The least packed pair of a word is its leftmost minimum-rank pair: its
@@ -57,7 +61,7 @@ WITH RECURSIVE s(w, p, q, t, t2, pair, live) AS (
 SELECT w, p, t FROM s WHERE NOT live ORDER BY w, p
 """
 
-#: For long words: a round contracts all occurrences of the minimum-rank pair that do not overlap, from the leftmost
+#: For long runs: a round contracts all occurrences of the minimum-rank pair that do not overlap, from the leftmost
 #: on. That is what one by one would give, as a merge with the new token has a higher rank than the token itself. In a
 #: run of overlapping occurrences (a a a a) every other one counts. rounds bounds what one query holds.
 LONG = """
@@ -112,6 +116,7 @@ class Bpe:
                 if (x := ranks.get(token[:i])) is not None and (y := ranks.get(token[i:])) is not None:
                     a.append(x), b.append(y), r.append(rank)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.pieces = Pieces(ranks.items(), self._contract, self._long)
         self.tables = {
             "merges": pa.table({k: pa.array(v, pa.int32()) for k, v in (("a", a), ("b", b), ("r", r))}),
             "vocabulary": pa.table({"t": pa.array(ranks.values(), pa.int32()), "h": pa.array([x.hex() for x in ranks], pa.string())}),
@@ -132,6 +137,7 @@ class Bpe:
         return self.open[0]
 
     def release(self) -> None:
+        self.pieces.clear()
         if self.open is not None:
             con, spill = self.open
             self.open = None
@@ -153,23 +159,19 @@ class Bpe:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each word) of non-empty words."""
-        coded = [w.encode() for w in words]
-        short = np.array([i for i, x in enumerate(coded) if len(x) <= SHORT_BYTES], np.int64)
-        lens, parts = np.zeros(len(coded), np.int64), []
-        for k in range(0, len(short), BATCH):
-            own = short[k : k + BATCH]
-            got = self._ask(SHORT, self._seed([coded[i] for i in own]))
-            lens[own] = np.bincount(got["w"], minlength=len(own))
-            parts.append((own, np.asarray(got["t"], np.int32)))
-        for i, x in enumerate(coded):
-            if len(x) > SHORT_BYTES:
-                parts.append((np.array([i]), self._long(x)))
-                lens[i] = len(parts[-1][1])
-        starts, flat = np.cumsum(lens) - lens, np.empty(int(lens.sum()), np.int32)
-        for own, ids in parts:  # a part's ids lie in the order of its words
-            n = lens[own]
-            flat[np.arange(len(ids)) + np.repeat(starts[own] - (np.cumsum(n) - n), n)] = ids
-        return flat, lens
+        return self.pieces.encode([w.encode() for w in words])
+
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids of each) of byte strings of up to 65,535 bytes, each contracted as one."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        cut = (np.cumsum(size) - size) // BATCH
+        at = np.concatenate([np.flatnonzero(np.diff(cut, prepend=-1)), [len(words)]]).tolist()
+        flat, lens = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            got = self._ask(SHORT, self._seed(words[lo:hi]))
+            lens.append(np.bincount(got["w"], minlength=hi - lo))
+            flat.append(np.asarray(got["t"], np.int32))
+        return np.concatenate(flat), np.concatenate(lens)
 
     def _long(self, word: bytes) -> np.ndarray:
         seed = self._seed([word])

@@ -68,8 +68,9 @@ class Cutter:
 class Words:
     """Distinct pre-tokens seen by this worker, numbered, with a ragged array of ids for each.
 
-    encode(list of words) returns (flat ids, lengths). The table starts anew when it exceeds most words, so its memory
-    is bounded by that and one slice of text; results don't depend on what it holds.
+    encode(list of words) returns (flat ids, lengths). The table starts anew when it exceeds most words or four times as
+    many ids, so its memory is bounded by that and one slice of text; results don't depend on what it holds. Words may be
+    strings or bytes.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
@@ -96,7 +97,7 @@ class Words:
 
     def numbers(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(number of each word, words of each text); new words are encoded."""
-        if len(self.number) > self.most:
+        if len(self.number) > self.most or self.used > 4 * self.most:
             self.clear()
         known = len(self.number)
         counts = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -4,6 +4,7 @@ A batch of distinct pre-tokens is one flat array of symbols with an owner for ea
 adjacent pair, takes each sequence's lowest, and merges all of its occurrences that don't overlap, in every sequence at
 once. Sequences with no pair left leave the batch; the symbols that survive are their counts. A merge with the new
 symbol has a higher rank than the symbol, so merging all occurrences of a rank at once gives what one by one would.
+Time is linear in a text's length in any script: long words are cut and merged in overlapping windows (windows.py).
 
 No shuffle; memory is bounded by the slice of text and the worker's table of distinct pre-tokens.
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_of
 from .pretokenize import Cutter, Words
+from .windows import Pieces
 
 #: What the ByteLevel pre-tokenizer of the .json format splits by when use_regex is set. A fixed value of the format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,18 +63,20 @@ class Merges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], np.arange(len(keys))[order]
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        self.pieces = Pieces(((bytes(byte_of[c] for c in x), i) for x, i in vocab.items() if all(c in byte_of for c in x)), self.survivors, lambda x: self.survivors([x])[0])
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def survivors(self, words: list[bytes]) -> np.ndarray:
-        """Symbols left of each non-empty word when no pair can be merged."""
+    def survivors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(flat symbols, symbols of each) left of non-empty words when no pair can be merged."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
         own = np.repeat(np.arange(len(words)), lens)
-        out = np.zeros(len(words), np.int64)
+        out, left = np.zeros(len(words), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
         while len(sym):
             rank = np.full(len(sym), NONE)
             inner = own[1:] == own[:-1]
@@ -82,23 +86,26 @@ class Merges:
             least = np.minimum.reduceat(rank, starts)
             done = least == NONE
             out[own[starts[done]]] = size[done]
+            gone = np.repeat(done, size)
+            left.append((own[gone], sym[gone]))
             hit = np.flatnonzero((rank == np.repeat(least, size)) & (rank != NONE))
             if len(hit):  # hits next to each other overlap: every other one of such a run counts
                 first = np.concatenate([[True], np.diff(hit) > 1])
                 run = np.flatnonzero(first)
                 hit = hit[(np.arange(len(hit)) - run[np.cumsum(first) - 1]) % 2 == 0]
             sym[hit] = self.merged[rank[hit]]
-            keep = ~np.repeat(done, size)
+            keep = ~gone
             keep[hit + 1] = False
             sym, own = sym[keep], own[keep]
-        return out
+        of, flat = (np.concatenate(x) for x in zip(*left, strict=True))
+        return flat[np.argsort(of, kind="stable")], out
 
     def count(self, words: list[str], batch: int = 1 << 20) -> np.ndarray:
-        """survivors() over batches of about so many bytes."""
+        """Symbols left of each non-empty word, over batches of about so many bytes."""
         coded = [w.encode() for w in words]
         cut = np.cumsum([len(x) for x in coded]) // batch if coded else np.empty(0)
         bounds = [*np.flatnonzero(np.diff(cut, prepend=-1)), len(coded)]
-        return np.concatenate([np.empty(0, np.int64), *(self.survivors(coded[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))])
+        return np.concatenate([np.empty(0, np.int64), *(self.pieces.encode(coded[a:b])[1] for a, b in zip(bounds[:-1], bounds[1:], strict=True))])
 
 
 @lru_cache(maxsize=2)
