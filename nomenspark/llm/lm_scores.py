@@ -2,9 +2,10 @@
 
 The relations are: count tables of n-grams, partitioned by hash; the n-grams of the documents, exploded; their join; and
 sums per document. They are held in blocks, so that a shuffled row carries many n-grams: documents are dealt to slices of
-some 8 MB by a hash, a slice sends its distinct n-grams with their counts to the hash partitions, each partition adds up
-what all slices sent and answers every slice with the totals, in the order of its n-grams, and the slice, whose texts lie
-where they lay, joins the answers to its tokens. A frequent word is one entry of a slice, so no key is hot.
+some 8 MB by a hash of key, text and row number (so that repeated rows spread), a slice sends its distinct n-grams with
+their counts to the hash partitions, each partition adds up what all slices sent and answers every slice with the totals,
+in the order of its n-grams, and the slice, whose texts lie where they lay, joins the answers to its tokens. A frequent
+word is one entry of a slice, so no key is hot.
 
 Counts leave out the document that is scored. The score of a word after a context is its count by the context's, else 0.4
 times the score after the context without its first word; a single word has its count by the number of words, and one
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, text_of
@@ -146,7 +147,7 @@ def merged(t: pa.Table) -> Iterator[tuple[int, list[int], list[np.ndarray], np.n
         yield k, rows, keys, every, total
 
 
-def answers(blocks: DataFrame) -> DataFrame:
+def answers(blocks: DataFrame, parts: int) -> DataFrame:
     """slice, n, part and the corpus's counts of the slice's n-grams in that partition."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -160,7 +161,8 @@ def answers(blocks: DataFrame) -> DataFrame:
                 out["totals"].append(planes(total[np.searchsorted(every, own)]))
         return pa.table({"slice": pa.array(out["slice"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "part": pa.array(out["part"], pa.int64()), "totals": pa.array(out["totals"], pa.binary())})
 
-    return blocks.groupBy("part").applyInArrow(run, "slice long, n int, part long, totals binary")
+    # a partition is a task: none depends on the session's number of shuffle partitions
+    return blocks.repartition(parts, "part").groupBy("part").applyInArrow(run, "slice long, n int, part long, totals binary")
 
 
 def count_table(blocks: DataFrame) -> DataFrame:
@@ -199,6 +201,11 @@ def backoff(keys: list[np.ndarray], totals: list[np.ndarray], doc: np.ndarray, l
     return np.log(score), used
 
 
+def slice_of(parts: int) -> Column:
+    """The slice of a row of key and text. Repeated rows spread over all slices by their row numbers."""
+    return F.pmod(F.xxhash64("key", "text", F.monotonically_increasing_id()), F.lit(parts)).cast("long")
+
+
 def packed(rows: DataFrame, kind: str) -> DataFrame:
     """The rows with their texts as blocks. kind: the key's type."""
 
@@ -213,15 +220,14 @@ def packed(rows: DataFrame, kind: str) -> DataFrame:
 def score(docs: DataFrame, order: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_top (words scored by an n-gram of full order), log_score (sum of natural logs) and mean_log of
     every row. order is the longest n-gram's length."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     size, words = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit(WORD)))).first()
     parts = max(LEAST_SLICES, -(-(size or 0) // SLICE_BYTES))
     words = words or 0
-    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("key", "text"), F.lit(parts)).cast("long"))
+    sliced = rows.withColumn("slice", slice_of(parts))
     kind = rows.schema["key"].dataType.simpleString()
-    sliced = packed(sliced, kind).repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "slice")
-    back = answers(distinct_grams(sliced, order, parts))
+    sliced = packed(sliced, kind).repartition(parts, "slice")
+    back = answers(distinct_grams(sliced, order, parts), parts)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = left.column("key").combine_chunks()

@@ -9,11 +9,10 @@ from .substring import repeated_spans
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(read(spark, sf_dir, "documents"), Scratch(spark, "substring"))
-    later = F.filter("spans", lambda x: ~x["first"])
     words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["words"])
     places = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return found.select(
-        "doc_id", "n_chunks", "n_repeated", F.size("spans").cast("long").alias("n_spans"), words(F.col("spans")).alias("repeated_words"),
-        words(later).alias("later_words"), places("spans").alias("spans"),
+        "doc_id", "n_chunks", "n_shared_chunks", F.size("spans").cast("long").alias("n_spans"), words(F.col("spans")).alias("repeated_words"),
+        words(F.col("later")).alias("later_words"), places("spans").alias("spans"),
         words(F.col("within")).alias("within_words"), places("within").alias("within"),
     )

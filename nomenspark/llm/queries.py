@@ -12,7 +12,6 @@ def queries() -> dict:
         "op5_mixing": q05.op5_mixing,
         "op6_near_vectors": q06.op6_near_vectors,
         "op7_lm_scores": q07.op7_lm_scores,
-        "op7_lm_scores_order3": q07.op7_lm_scores_order3,
         "op8_substring_dedup": q08.op8_substring_dedup,
         "op9_minhash": q09.op9_minhash,
         "op10_secrets": q10.op10_secrets,

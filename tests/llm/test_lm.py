@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nomenspark.llm import lm_scores
+from nomenspark.llm import lm_scores, q07
 from nomenspark.llm.lm_scores import bounds, count_table, distinct_grams, pack, score, unpack
 
 
@@ -77,11 +77,11 @@ def test_texts_are_dealt_once(spark, sf):
 
 
 def test_registered_trigrams_see_shuffled_text(spark, sf):
-    """The longer query equals the plain version on the tables, reads its texts once, and goes below a chain of common
+    """The query equals the plain version on the tables, reads its texts once, and goes below a chain of common
     pairs where no trigram of it occurs, which bigrams cannot tell."""
     from nomenspark.llm.queries import queries
 
-    df = queries()["op7_lm_scores_order3"](spark, sf)
+    df = queries()["op7_lm_scores"](spark, sf)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {(x.doc_id, x.n_words, x.n_top): x.log_score for x in df.collect()}
     for key, n, top, log in brute(rows, 3):
@@ -90,3 +90,14 @@ def test_registered_trigrams_see_shuffled_text(spark, sf):
     pairs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b q", "r b c", "s b q", "t b c", "a b u", "a b c"])], "doc_id long, text string")
     at = lambda order: {x.doc_id: x.n_top for x in score(pairs, order).collect()}
     assert at(2)[5] == 2 and at(3)[5] == 0
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_query_equals_its_sql(spark, size):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf{size}/documents.parquet'")
+    out = con.execute(q07.SQL)
+    columns = [c[0] for c in out.description]
+    got = q07.op7_lm_scores(spark, f"/root/testdata/sf{size}").select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(out.fetchall(), key=repr)

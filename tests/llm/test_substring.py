@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nomenspark.llm import q08, substring
 from nomenspark.llm.common import Scratch
@@ -40,22 +41,63 @@ def test_insertions_move_few_chunks():
     assert len(chunks(raw) - chunks(other)) <= 2
 
 
-def windows(rows, n):
-    at = defaultdict(set)
-    for i, text in rows:
-        w = (text or "").split()
+def brute(rows, n):
+    """(words that other rows hold too, words that any row holds before) of every row, in windows of n words."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1] or ""))
+    words, held = [(rows[i][1] or "").encode().split() for i in order], defaultdict(set)
+    for i, w in enumerate(words):
         for k in range(len(w) - n + 1):
-            at[tuple(w[k : k + n])].add(i)
-    return set().union(*(v for v in at.values() if len(v) > 1))
+            held[tuple(w[k : k + n])].add(i)
+    out, before = {}, set()
+    for i, w in enumerate(words):
+        shared, later = set(), set()
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            if len(held[key]) > 1:
+                shared |= set(range(k, k + n))
+            if key in before:
+                later |= set(range(k, k + n))
+            before.add(key)
+        out[rows[order[i]][0]] = (len(shared), len(later))
+    return out
 
 
 @pytest.mark.parametrize("size", ["0.001", "0.01"])
 def test_query_finds_shared_passages_and_no_others(spark, size):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet").collect()]
     got = q08.op8_substring_dedup(spark, f"/root/testdata/sf{size}").collect()
-    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
-    found = {r.doc_id for r in got if r.n_spans}
-    assert windows(rows, 51) <= found <= windows(rows, 20)
+    assert {r.doc_id: (r.repeated_words, r.later_words) for r in got} == brute(rows, 25) and len(got) == len(rows)
+    assert any(r.n_shared_chunks and not r.n_spans for r in got)
+
+
+def test_any_spacing_and_alphabet(spark):
+    """Small alphabets, shifted, respaced and cut passages: the chunks drop no window that is shared."""
+    r = random.Random(6)
+    for letters in ("ab", "abcdefghijklmnop", "\u4e2d\u6587\u00e9a"):
+        word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(1, 9)))
+        pool, rows = [[word() for _ in range(80)] for _ in range(12)], []
+        for i in range(150):
+            text = []
+            for _ in range(r.randrange(1, 4)):
+                text += [word() for _ in range(r.randrange(30))]
+                p, a = r.choice(pool), r.randrange(50)
+                text += p[a : a + r.randrange(10, 80)]
+            rows.append((i, "".join(w + r.choice((" ", "\n", "  \t")) for w in text)))
+        got = substring.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test")).collect()
+        count = lambda spans: sum(s.words for s in spans)
+        assert {x.doc_id: (count(x.spans), count(x.later)) for x in got} == brute(rows, 25)
+
+
+def test_later_passages_are_removed(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    a, b = (" ".join(word() for _ in range(40)) for _ in range(2))
+    own = [" ".join(word() for _ in range(30)) for _ in range(4)]
+    rows = [(5, f"{own[0]} {a} {own[1]}"), (5, f"{own[2]} {a}"), (None, f"{a} {own[3]} {b} {b}"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("rid", F.lit("clash"))
+    got = {(x.doc_id, x.text, x.n_removed) for x in substring.without_repeats(df, Scratch(spark, "test")).collect()}
+    assert got == {(5, rows[0][1], 0), (5, f"{own[2]} ", 40), (None, f" {own[3]} {b} ", 80), (7, None, 0), (8, "", 0)}
+    assert substring.without_repeats(df.limit(0), Scratch(spark, "test")).count() == 0
 
 
 def test_planted_passages(spark):
