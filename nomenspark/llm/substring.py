@@ -4,8 +4,8 @@ A text's words, joined by single spaces, are cut where the gear hash of the last
 a chunk holds about 32 bytes and its bounds depend on nearby bytes alone: after an insertion the same cuts come back. Chunks
 are deduplicated by 64-bit digests: those that two or more rows hold are repeated.
 
-Chunks say where to look. A window of min_words words that rows share has the same whole chunks in each of them, so one that
-holds a chunk that no other row has (and that lies far enough from the window's start to be cut alike everywhere) is out. Only
+Chunks say where to look. A window of min_words words that occurs twice has the same whole chunks in both places, so one that
+holds a chunk that occurs once (and that lies far enough from the window's start to be cut alike everywhere) is out. Only
 the others, some tenth of unshared text, are told by hashes of their own, which give the exact bounds: a word in a window that
 other rows hold too is repeated, and runs of repeated words are the spans. So every shared passage of min_words words or more
 is found, from its first word to its last, also if no chunk lies inside it. What a row repeats of itself is told apart.
@@ -60,6 +60,7 @@ def cut_points(data: np.ndarray) -> np.ndarray:
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1  # null ids come last
+SEVERAL = 4  # flag of a chunk that occurs more than once
 
 
 class Slice:
@@ -90,7 +91,8 @@ class Slice:
             base += len(joined) + 1
         self.heads, self.ends, self.firm = np.concatenate(heads), np.concatenate(ends), np.concatenate(firm)
         self.chunk_row = np.repeat(np.arange(len(self.raw)), self.n_chunks)
-        self.chunks, _, self.chunk_where, self.chunk_rows = self.distinct(np.concatenate(digests), self.chunk_row)
+        self.chunks, _, self.chunk_where, rows = self.distinct(np.concatenate(digests), self.chunk_row)
+        self.chunk_counts = rows + SEVERAL * (np.bincount(self.chunk_where, minlength=len(rows)) > 1)
 
     @staticmethod
     def distinct(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,8 +102,9 @@ class Slice:
         np.maximum.at(last, where, row)
         return every, first, where, 1 + (last > row[first])
 
-    def look(self, chunk_codes: np.ndarray) -> None:
-        """The windows, and which of the distinct ones may be shared. chunk_codes: of the distinct chunks; 1: repeated."""
+    def look(self, codes: np.ndarray) -> None:
+        """The windows that may be repeated. codes: of the distinct chunks; 1: other rows hold it, SEVERAL: it occurs
+        more than once. Any other chunk rules out the windows that it lies in."""
         starts, stops = [], []
         for raw in self.raw:
             data = np.frombuffer(raw, np.uint8)
@@ -109,33 +112,28 @@ class Slice:
             edge = np.flatnonzero(word[1:] != word[:-1])
             starts.append(edge[::2])
             stops.append(edge[1::2])
+        codes = codes[self.chunk_where]
+        self.shared = np.bincount(self.chunk_row, codes & 1, len(self.raw)).astype(np.int64)
         self.lens = np.array([len(x) for x in self.words], np.int64)
-        flat = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, x), np.uint64, len(x)) for x in self.words])
         self.starts, self.stops = np.concatenate(starts), np.concatenate(stops)
         row = np.repeat(np.arange(len(self.lens)), self.lens)
-        left = np.repeat(np.cumsum(self.lens), self.lens) - np.arange(len(flat))  # words to the text's end
-        self.at = np.flatnonzero(left >= self.k)  # first words of windows
+        left = np.repeat(np.cumsum(self.lens), self.lens) - np.arange(len(row))  # words to the text's end
+        at = np.flatnonzero(left >= self.k)  # first words of windows
+        size = self.stops - self.starts  # places of each word, joined by single spaces
+        end = np.cumsum(size + 1) - 1
+        single = (codes & SEVERAL == 0) & self.firm
+        ends = np.append(self.ends[single], 1 << 62)
+        inside = ends[np.searchsorted(self.heads[single], end[at] - size[at] + WINDOW + LEAST)] <= end[at + self.k - 1]
+        self.at = at[~inside]
+        self.window_row = row[self.at]
+        flat = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, x), np.uint64, len(x)) for x in self.words])
         key, power = np.zeros(len(self.at), np.uint64), 1
         for j in range(self.k):
             key += flat[self.at + j] * np.uint64(power)
             power = power * int(STEP) % (1 << 64)
-        self.window_row = row[self.at]
         windows, self.first, self.where, rows = self.distinct(key, self.window_row)
-        # places of each word, joined by single spaces
-        size = self.stops - self.starts
-        end = np.cumsum(size + 1) - 1
-        head = end - size
-        own, last = (self.chunk_codes(chunk_codes) & 1 == 0) & self.firm, self.at + self.k - 1
-        single, single_end = self.heads[own], np.append(self.ends[own], 1 << 62)
-        out = single_end[np.searchsorted(single, head[self.at] + WINDOW + LEAST)] <= end[last]
-        self.open = np.zeros(len(windows), bool)
-        self.open[self.where[~out]] = True
         rank = np.array([LAST if i is None else i for i in self.ids], np.int64)
-        self.sent = (windows[self.open], rows[self.open], rank[self.window_row[self.first]][self.open])
-        self.repeated = np.bincount(self.chunk_row, self.chunk_codes(chunk_codes) & 1, len(self.lens)).astype(np.int64)
-
-    def chunk_codes(self, codes: np.ndarray) -> np.ndarray:
-        return codes[self.chunk_where]
+        self.sent = (windows, rows, rank[self.window_row[self.first]])
 
     def spans(self, hit: np.ndarray, later: np.ndarray) -> list[list[dict]]:
         """Runs of the words of some windows, by row; later: of each of them, that it has occurred before."""
@@ -149,9 +147,7 @@ class Slice:
     def found(self, codes: np.ndarray) -> tuple[list[list[dict]], ...]:
         """(spans, spans that the row itself holds before, spans that any row holds before) of each row. codes: of the
         windows that were sent; 1: repeated, 2: first of all here."""
-        every = np.zeros(len(self.open), np.uint8)
-        every[self.open] = codes
-        code = every[self.where]
+        code = codes[self.where]
         hit = np.flatnonzero(code & 1)
         later = (code[hit] & 2 == 0) | (self.first[self.where[hit]] != hit)
         again = np.ones(len(self.where), bool)
@@ -180,8 +176,8 @@ def blocks(at: int, parts: int, keys: np.ndarray, counts: np.ndarray, ids: np.nd
 
 
 def answers(sent: DataFrame, parts: int) -> DataFrame:
-    """slice, part and the codes of the slice's hashes in that partition: 1 if two or more rows hold it, 2 if its first
-    row is here, 0 if it is held once."""
+    """slice, part and the codes of the slice's hashes in that partition: 1 if two or more rows hold it, then 2 if its
+    first row is here; SEVERAL if the row that holds it said so, or two or more do."""
 
     def run(t: pa.Table) -> pa.Table:
         slices_, part = t.column("slice").to_numpy(), t.column("part")[0].as_py()
@@ -190,12 +186,12 @@ def answers(sent: DataFrame, parts: int) -> DataFrame:
         counts = np.concatenate([np.frombuffer(loosen(t.column("counts")[r].as_py()), np.uint8) for r in rows])
         ids = np.concatenate([from_planes(t.column("ids")[r].as_py()) for r in rows])
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
-        again = np.bincount(where, counts, len(every)) >= 2
+        again = np.bincount(where, counts & 3, len(every)) >= 2
+        several = again | (np.bincount(where, counts & SEVERAL, len(every)) > 0)
         order = np.lexsort((np.arange(len(ids)), ids, where))  # by id, then slice
         first = np.zeros(len(ids), bool)
         first[order[np.concatenate([[True], np.diff(where[order]) > 0])]] = True
-        codes = (again[where] + 2 * first).astype(np.uint8)
-        codes[~again[where]] = 0
+        codes = (again[where] * (1 + 2 * first) + SEVERAL * several[where]).astype(np.uint8)
         out = [squeeze(own.tobytes()) for own in np.split(codes, np.cumsum([len(x) for x in keys])[:-1])]
         return pa.table({"slice": pa.array(slices_[rows]), "part": pa.array([part] * len(rows), pa.int64()), "codes": pa.array(out, pa.binary())})
 
@@ -224,7 +220,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, min_words: int = 25) -> Da
 
     def chunks(t: pa.Table) -> pa.Table:
         own = Slice(t, min_words)
-        return blocks(t.column("slice")[0].as_py(), parts, own.chunks, own.chunk_rows, np.zeros(len(own.chunks), np.int64))
+        return blocks(t.column("slice")[0].as_py(), parts, own.chunks, own.chunk_counts, np.zeros(len(own.chunks), np.int64))
 
     told = scratch.table(answers(sliced.groupBy("slice").applyInArrow(chunks, BLOCK_TYPE), parts), "chunks").select("slice", "part", "codes")
 
@@ -239,10 +235,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, min_words: int = 25) -> Da
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own, chunk = Slice(left, min_words), pa.compute.equal(right.column("kind"), 0)
         own.look(codes_of(right.filter(chunk), len(own.chunks)))
-        spans, within, later = own.found(codes_of(right.filter(pa.compute.invert(chunk)), int(own.open.sum())))
+        spans, within, later = own.found(codes_of(right.filter(pa.compute.invert(chunk)), len(own.sent[0])))
         of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first", pa.bool_())]))
         return pa.table({
-            "doc_id": pa.array(own.ids, pa.int64()), "n_chunks": pa.array(own.n_chunks, pa.int64()), "n_shared_chunks": own.repeated,
+            "doc_id": pa.array(own.ids, pa.int64()), "n_chunks": pa.array(own.n_chunks, pa.int64()), "n_shared_chunks": own.shared,
             "spans": pa.array(spans, of), "within": pa.array(within, of), "later": pa.array(later, of),
         })
 
