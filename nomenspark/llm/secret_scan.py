@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a character convolutional network over every candidate and its surroundings.
 
-The patterns give the base findings, which always stay. A candidate is any long run of token characters that holds both a
-letter and a digit; the network, in numpy, reads it with the text around it and adds those that it scores above its
-threshold and that no base finding overlaps. It is trained here on labelled findings that a seeded generator writes: a
-bounded number of rows, a parameter. A part held out calibrates its scores (a logistic fit) and sets the threshold: the
-highest at which the held-out recall is at least min_recall.
+The patterns give the base findings, which always stay. A candidate is any run of 16 or more token characters, whatever they
+are, any run of 8 or more after a word that names a credential, and any base finding; the network, in numpy, reads each with
+the text around it. It scores the base findings, and adds those others that it scores above its threshold and that no base
+finding overlaps. It is trained here on labelled findings that a seeded generator writes: a bounded number of rows, a
+parameter. A part held out calibrates its scores (a logistic fit) and sets the threshold: the highest at which the held-out
+recall is at least min_recall, where a secret that is no candidate counts as missed.
 
 No shuffle; each text is scanned whole in its row. The model, some 30 KB, goes with the tasks.
 
@@ -33,8 +34,14 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Runs that are too short could not pass, and a shorter run inside one can't either.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Long runs, and shorter ones after words that name credentials.
+LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+AFTER_NAME = re.compile(
+    r"""(?<![A-Za-z])(?i:pwd|pass|passwd|password|passcode|passphrase|credentials?|creds?|bearer|auth|authorization|login|pin|key|apikey|secret|token)["']?(?:\x20*[:=]\x20*|\x20+(?:is\x20+)?)["']?([A-Za-z0-9+/_.=!@$%^&*~-]{8,})""",
+    re.ASCII,
+)
+#: What an AFTER_NAME needs to hold; texts without any of them are not searched.
+STEMS = re.compile(r"(?i:pwd|pass|cred|bearer|auth|login|pin|key|secret|token)")
 AROUND, WIDTH, FILTERS, DIM = 24, 5, 24, 12
 CODES = 99  # 0 padding, 1 to 95 printable ASCII, 96 line ends, 97 other controls, 98 the rest
 
@@ -52,7 +59,19 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if DIGIT.search(m[0]) and LETTER.search(m[0])]
+    """(start, end) of the candidates that are no base findings, sorted; none overlaps another."""
+    spans = [m.span() for m in LONG_RUN.finditer(text)]
+    if STEMS.search(text):
+        spans += [m.span(1) for m in AFTER_NAME.finditer(text)]
+        spans.sort(key=lambda x: (x[0], -x[1]))
+        joined: list[tuple[int, int]] = []
+        for a, b in spans:  # a run that reaches into another one becomes part of it
+            if joined and a < joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+            else:
+                joined.append((a, b))
+        return joined
+    return spans
 
 
 # ---- the network
@@ -143,11 +162,13 @@ class Network:
 
 
 def fit(findings: list[tuple[str, int, int, int]], seed: int, rounds: int = 6, batch: int = 64, min_recall: float = 0.95) -> Network:
-    """A network for labelled findings (text, start, end, 1 if a secret). Every fifth is held out for calibration."""
+    """A network for labelled findings (text, start, end, 1 if a secret). Every fifth is held out for calibration. One whose
+    end is its start is no candidate: it is not learned from, and held-out ones count as missed."""
     r = np.random.default_rng(seed)
     net = Network(r.normal(0, 0.3, (CODES, DIM)), r.normal(0, (2 / (WIDTH * DIM)) ** 0.5, (WIDTH * (DIM + 1), FILTERS)), np.zeros(FILTERS), r.normal(0, 0.1, 3 * FILTERS + 1))
-    held = [f for i, f in enumerate(findings) if i % 5 == 4]
-    train = [f for i, f in enumerate(findings) if i % 5 != 4]
+    held = [f for i, f in enumerate(findings) if i % 5 == 4 and f[1] < f[2]]
+    train = [f for i, f in enumerate(findings) if i % 5 != 4 and f[1] < f[2]]
+    missed = sum(f[3] for i, f in enumerate(findings) if i % 5 == 4 and f[1] == f[2])
     mean = {k: np.zeros_like(getattr(net, k)) for k in ("embed", "filters", "bias", "out")}
     square, step = {k: v.copy() for k, v in mean.items()}, 0
     for _ in range(rounds):
@@ -166,9 +187,9 @@ def fit(findings: list[tuple[str, int, int, int]], seed: int, rounds: int = 6, b
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -50, 50)))
         a, b = a - 0.01 * (((p - y) * raw).mean() + 1e-3 * (a - 1)), b - 0.1 * (p - y).mean()
     net.scale, net.shift = float(a), float(b)
-    found = np.sort(net.scores([f[:3] for f in held if f[3]]))
-    net.threshold = float(max(0.5, found[int((1 - min_recall) * len(found))])) if len(found) else 0.5
-    if len(found) and (found >= net.threshold).mean() < min_recall:
+    found = np.sort(np.concatenate([np.zeros(missed), net.scores([f[:3] for f in held if f[3]])]))
+    net.threshold = 0.5
+    if len(found):  # the highest that keeps min_recall, and not above 0.5 for nothing
         net.threshold = float(found[int((1 - min_recall) * len(found))])
     return net
 
@@ -176,37 +197,57 @@ def fit(findings: list[tuple[str, int, int, int]], seed: int, rounds: int = 6, b
 # ---- labelled findings
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnprstvwz"
-_NAMES = ("client_secret", "auth", "Authorization: Bearer", "pwd", "credential", "access_key", "private", "key", "apikey", "pass", "bearer", "x-auth", "sk", "ghp")
-_PLAIN = ("version", "file", "path", "build", "page", "id", "name", "ref", "see", "http", "image", "chapter", "order", "sha of release", "isbn")
+_NAMES = (
+    "client_secret", "auth", "Authorization: Bearer", "pwd", "credential", "access_key", "private_key", "key", "apikey", "pass", "bearer", "x-auth", "login",
+    "passphrase", "passcode", "DB_PASS", "creds", "pin",
+)
+#: Parts of long words, as natural languages join them.
+_ONSETS = ("", "", "b", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "z", "br", "ch", "dr", "fr", "gr", "kr", "pf", "ph", "pl", "pr", "sch", "sp", "st", "str", "th", "tr", "wh", "zw")
+_NUCLEI = ("a", "e", "e", "i", "o", "u", "ai", "au", "ea", "ee", "ei", "eu", "ie", "io", "oo", "ou", "y")
+_CODAS = ("", "", "", "n", "r", "s", "t", "l", "m", "nd", "ng", "nt", "ch", "cht", "ck", "ld", "lich", "ment", "ness", "rt", "sch", "ss", "st", "th", "tion", "tz", "keit", "heit", "ung")
+_PLAIN = ("version", "file", "path", "build", "page", "id", "name", "ref", "see", "http", "image", "chapter", "order", "sha of release", "isbn", "the", "a")
 
 
 def labelled_findings(seed: int, n: int) -> list[tuple[str, int, int, int]]:
-    """n labelled candidates in context, about half of them secrets: random keys of several alphabets after names of
-    credentials or alone in prose, against identifiers, paths, dates, numbers, slugs, repeated and spelled-out runs."""
+    """n labelled findings (text, start, end, 1 if a secret), about half of them secrets: random keys of several alphabets
+    and lengths after names of credentials or, when long, alone in prose, against identifiers, paths, dates, numbers,
+    slugs, long words, and words after names of credentials. start is end for a secret that is no candidate."""
     r = np.random.default_rng(seed)
     pick = lambda s: s[int(r.integers(len(s)))]
     word = lambda: "".join(pick(_CONSONANTS) + pick(_VOWELS) for _ in range(int(r.integers(1, 5))))
     prose = lambda: " ".join(word() for _ in range(int(r.integers(0, 8))))
+    spoken = lambda: "".join(pick(_ONSETS) + pick(_NUCLEI) + pick(_CODAS) for _ in range(int(r.integers(2, 8))))
     run = lambda alphabet, lo, hi: "".join(pick(alphabet) for _ in range(int(r.integers(lo, hi))))
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     upper = lower.upper()
 
-    def secret() -> str:
-        kind = r.integers(6)
+    def secret() -> tuple[str, bool]:
+        """A key, and whether it is short."""
+        kind = r.integers(9)
         if kind == 0:
-            return run("0123456789abcdef", 24, 65)
+            return run("0123456789abcdef", 24, 65), False
         if kind == 1:
-            return run(lower + upper + digits + "+/", 20, 65) + pick(("", "=", "=="))
+            return run(lower + upper + digits + "+/", 20, 65) + pick(("", "=", "==")), False
         if kind == 2:
-            return run(lower + upper + digits, 18, 50)
+            return run(lower + upper + digits, 18, 50), False
         if kind == 3:
-            return pick(("sk-", "ghp_", "xoxb-", "pk_live_", "AIza", "glpat-")) + run(lower + upper + digits + "_-", 20, 42)
+            return pick(("sk-", "ghp_", "xoxb-", "pk_live_", "AIza", "glpat-")) + run(lower + upper + digits + "_-", 20, 42), False
         if kind == 4:
-            return run(upper + digits, 18, 40)
-        return "eyJ" + run(lower + upper + digits + "_-", 30, 80)
+            return run(upper + digits, 18, 40), False
+        if kind == 5:
+            return "eyJ" + run(lower + upper + digits + "_-", 30, 80), False
+        if kind == 6:
+            return run(pick((lower + upper, lower, upper)), 20, 40), False
+        return run(lower + upper + digits + pick(("", "!@$%^&*", "_-")), 6, 16), True
 
     def harmless() -> str:
-        kind = r.integers(8)
+        kind = r.integers(18)
+        if kind >= 14:
+            return pick((spoken(), spoken().capitalize(), spoken().upper()))
+        if kind == 12:
+            return spoken() + pick("!@$%^&*~-") * int(r.integers(1, 6))
+        if kind == 13:
+            return pick("-_/").join(spoken() for _ in range(int(r.integers(2, 4))))
         if kind == 0:
             return "-".join([word(), word(), word(), run(digits, 1, 5)]) + word()
         if kind == 1:
@@ -220,24 +261,39 @@ def labelled_findings(seed: int, n: int) -> list[tuple[str, int, int, int]]:
         if kind == 5:
             return (word() + word() + word()).capitalize() + word() + word() + run(digits, 1, 4)
         if kind == 6:
-            return run(digits, 14, 30) + pick(lower)
-        return "=".join([word() + word(), word() + word() + run(digits, 1, 3)]) + "=" * 8
+            return run(digits, 14, 30) + pick((*lower, ""))
+        if kind == 7:
+            return "=".join([word() + word(), word() + word() + run(digits, 1, 3)]) + "=" * 8
+        if kind == 8:
+            return pick("=-_") * int(r.integers(16, 80))
+        if kind == 9:
+            return "".join(word().capitalize() for _ in range(int(r.integers(3, 7))))
+        if kind == 10:
+            return "_".join(word().upper() for _ in range(int(r.integers(3, 6))))
+        return "".join(word() for _ in range(int(r.integers(2, 7))))
 
     out = []
     while len(out) < n:
-        label = int(r.integers(2))
-        body = secret() if label else harmless()
-        names = _NAMES if (r.random() < 0.7) == bool(label) else _PLAIN
-        lead = prose() + " " + pick((pick(names) + pick((" = ", ": ", "=", ' = "', " ")), word() + " ", ""))
+        label, short = int(r.integers(2)), False
+        if label:
+            body, short = secret()
+        else:
+            body = harmless()
+        named = short or (r.random() < 0.7) == bool(label)
+        names = _NAMES if named else _PLAIN
+        between = pick((" = ", ": ", "=", ' = "', " "))
+        lead = prose() + " " + (pick(names) + between if short else pick((pick(names) + between, word() + " ", "")))
         text = lead + body + pick(("", '"', " ", "\n", ",", ". ")) + prose()
         own = [s for s in candidates(text) if s[0] < len(lead) + len(body) and s[1] > len(lead)]
         if own:
             out.append((text, *max(own, key=lambda s: s[1] - s[0]), label))
+        elif label:
+            out.append((text, len(lead), len(lead), 1))
     return out
 
 
 @lru_cache(maxsize=2)
-def trained(seed: int = 20260101, rows: int = 4000, min_recall: float = 0.95) -> Network:
+def trained(seed: int = 20260101, rows: int = 12000, min_recall: float = 0.95) -> Network:
     """The network for rows generated findings."""
     return fit(labelled_findings(seed, rows), seed, min_recall=min_recall)
 
@@ -246,14 +302,23 @@ def trained(seed: int = 20260101, rows: int = 4000, min_recall: float = 0.95) ->
 
 
 def findings_of(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float]]]:
-    """Per text (start, kind number, end, score) by start and kind. Base findings that are no candidates score 1."""
+    """Per text (start, kind number, end, score) by start and kind."""
     base = [base_findings(t) for t in texts]
-    cases = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t)]
-    scores = net.scores([(texts[i], a, b) for i, a, b in cases])
-    out = [[(a, k, b, 1.0) for a, k, b in found] for found in base]
-    for (i, a, b), s in zip(cases, scores, strict=True):
-        if s >= net.threshold and not any(x < b and a < y for x, _, y in base[i]):
-            out[i].append((a, len(KINDS) - 1, b, float(s)))
+    cases, kinds = [], []
+    for i, (t, found) in enumerate(zip(texts, base, strict=True)):
+        cases += [(i, a, b) for a, _, b in found]
+        kinds += [k for _, k, _ in found]
+        at, reach = 0, 0  # base findings are sorted by start; reach is the furthest end of those before
+        for a, b in candidates(t):
+            while at < len(found) and found[at][0] < b:
+                at, reach = at + 1, max(reach, found[at][2])
+            if reach <= a:
+                cases.append((i, a, b))
+                kinds.append(len(KINDS) - 1)
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    for (i, a, b), k, s in zip(cases, kinds, net.scores([(texts[i], a, b) for i, a, b in cases]), strict=True):
+        if k < len(KINDS) - 1 or s >= net.threshold:
+            out[i].append((a, k, b, float(s)))
     return [sorted(x) for x in out]
 
 
