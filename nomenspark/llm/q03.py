@@ -42,7 +42,7 @@ WITH d AS (
     + CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END
     + CASE WHEN n_words > 0 AND 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words) THEN 16 ELSE 0 END
-    + CASE WHEN n_words > 100000000 THEN 32 ELSE 0 END)::BIGINT AS failed_bits
+    + CASE WHEN n_words > 100000 THEN 32 ELSE 0 END)::BIGINT AS failed_bits
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
