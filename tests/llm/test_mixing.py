@@ -53,6 +53,41 @@ def test_route_is_cheapest():
     assert sum(cost(got[p], n) for p, n in patterns.items()) == best
 
 
+def test_plain_sources_need_no_network():
+    """Thousands of sources at once, and the same amounts as by the flow where some overlap."""
+    many = {json.dumps([f"s{i}"]): i + 1 for i in range(5000)}
+    got = route(many, {f"s{i}": 2 * i for i in range(5000)}, 3)
+    assert all(got[json.dumps([f"s{i}"])] == min(2 * i, 3 * (i + 1)) for i in range(5000))
+    both = {json.dumps(p): n for p, n in ((["a"], 5), (["b", "c"], 4), ([], 9), ([None], 2))}
+    assert route(both, {"a": 20, "b": 3, "c": 9, None: 1}, 3) == {'["a"]': 15, '["b", "c"]': 12, "[]": 0, "[null]": 1}
+
+
+def test_overlapping_sources_over_the_table(spark):
+    """Documents that belong to their source and to their language: the flow routes each pattern, within its documents'
+    three copies, and fills every quota that the overlap lets it fill, at the least cost in repeats."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = rows_of(docs.select("doc_id", "text", "source", "lang"), F.array(F.col("source"), F.concat(F.lit("lang-"), F.col("lang"))), "doc_id", 3)
+    plan = make_plan(made, Scratch(spark, "test"))
+    got, wanted = take(made, plan).collect(), {r.source: r.target for r in plan.sources.collect()}
+    assert len(got) == docs.count() and all(0 <= r.copies <= 3 for r in got)
+    size, given = {}, {}
+    for r in got:
+        size[r._pattern] = size.get(r._pattern, 0) + r._size
+        given[r._pattern] = given.get(r._pattern, 0) + r.copies * r._size
+    assert sum(len(json.loads(p)) > 1 for p in size) > 4
+    exact = route(size, {s: round(t) for s, t in wanted.items()}, 3)
+    largest = max(r._size for r in got)
+    assert all(abs(given[p] - exact[p]) <= largest for p in size)
+    # a max flow: no pattern with room left touches a source with quota left, along any chain of patterns
+    pulp = sum(exact.values())
+    cuts = []
+    for n in range(len(wanted) + 1):
+        for chosen in itertools.combinations(sorted(wanted, key=str), n) if len(wanted) <= 12 else ():
+            inside = set(chosen)
+            cuts.append(sum(round(t) for s, t in wanted.items() if s not in inside) + sum(3 * n for p, n in size.items() if inside & set(json.loads(p))))
+    assert not cuts or pulp == min(cuts)
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "", "x"), (3, "one two", None), (4, "a b c", "y"), (4, "a b c", "y"), (None, "q", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("full", F.lit("clash"))
