@@ -14,6 +14,17 @@ def _n(x: str, width: int = 6) -> str:
     return f"lpad(CAST({x} AS STRING), {width}, '0')"
 
 
+def _contig(n: str) -> str:
+    """The accession of chromosome number n, 1 to 22, in build 38."""
+    versions = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate((11, 12, 12, 12, 10, 12, 14, 11, 12, 11, 10, 12, 11, 9, 10, 10, 11, 10, 10, 11, 9, 11), 1))
+    return f"concat('NC_', {_n(n)}, '.', CASE {n} {versions} END)"
+
+
+def _chrom(n: str) -> str:
+    """A chromosome's name of 26: 22 numbers, X, Y without chr, the mitochondrion, and one that no assembly has."""
+    return f"CASE {n} WHEN 22 THEN 'chrX' WHEN 23 THEN 'Y' WHEN 24 THEN 'chrM' WHEN 25 THEN 'chrUn_9' ELSE concat('chr', CAST(1 + {n} AS STRING)) END"
+
+
 _BASES = "translate(md5({0}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _TRACTS = "translate(md5(concat(CAST(p_partkey AS STRING), '-{0}')), '0123456789abcdef', 'AAAAACCCCAAGGTTT')"
 _PARTS = ", ".join(_TRACTS.format(i) for i in range(8))
@@ -64,7 +75,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
         FROM lineitem JOIN sequences ON k = l_partkey"""),
     "transcripts": (["part"], f"""
         SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 7 = 0 THEN 'NR_' WHEN p_partkey % 11 = 0 THEN 'XM_' ELSE 'NM_' END, {_n('CAST(floor(p_partkey / 2) AS BIGINT)')}, '.', CAST(1 + p_partkey % 2 AS STRING)) AS tx,
-          p_brand AS gene, concat('NC_0000', {_n('1 + p_partkey % 22', 2)}, '.11') AS contig, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS strand,
+          p_brand AS gene, {_contig('(1 + p_partkey % 22)')} AS contig, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS strand,
           1000 + (p_partkey * 7919) % 90000 AS g0, 100 + p_size AS len1, 120 + 2 * p_size AS len2, 150 + p_size AS len3,
           CASE WHEN p_partkey % 7 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(31 AS BIGINT) END AS cds_start,
           CASE WHEN p_partkey % 7 = 0 THEN CAST(NULL AS BIGINT) ELSE 30 + 3 * CAST(floor((310 + 4 * p_size) / 3) AS BIGINT) END AS cds_end,
@@ -80,21 +91,21 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN strand = 1 THEN g0 + len1 + len2 + 400 + len3 ELSE g0 + len3 END FROM transcripts"""),
     # points on contigs
     "points": (["lineitem"], f"""
-        SELECT l_orderkey * 10 + l_linenumber AS vid, concat('NC_0000', {_n('1 + l_suppkey % 22', 2)}, '.11') AS contig, 1000 + (l_orderkey * 131 + l_partkey * 17) % 92000 AS g FROM lineitem"""),
+        SELECT l_orderkey * 10 + l_linenumber AS vid, {_contig('(1 + l_suppkey % 22)')} AS contig, 1000 + (l_orderkey * 131 + l_partkey * 17) % 92000 AS g FROM lineitem"""),
     # positions on transcripts: base (no zero), offset into an intron, past the stop or not
     "cpos": (["lineitem", "part", "transcripts"], """
         SELECT l_orderkey * 10 + l_linenumber AS vid, tx, CASE WHEN l_linenumber = 1 THEN -1 - l_orderkey % 30 WHEN l_linenumber = 2 THEN 1 + l_orderkey % 20 ELSE 1 + l_orderkey % 300 END AS base,
           CASE WHEN l_linenumber = 4 THEN 1 + l_suppkey % 40 WHEN l_linenumber = 5 THEN -1 - l_suppkey % 40 ELSE CAST(NULL AS BIGINT) END AS off, l_linenumber = 2 AS utr3
         FROM lineitem JOIN transcripts ON k = l_partkey"""),
     "vcf": (["lineitem"], f"""
-        SELECT l_orderkey * 10 + l_linenumber AS vid, concat('chr', CAST(1 + l_suppkey % 22 AS STRING)) AS chrom, 100 + l_orderkey * 7 + l_linenumber AS pos,
+        SELECT l_orderkey * 10 + l_linenumber AS vid, {_chrom('l_suppkey % 26')} AS chrom, 100 + l_orderkey * 7 + l_linenumber AS pos,
           concat(substr({_BASES.format("CAST(l_partkey AS STRING)")}, 1, CAST(1 + l_linenumber % 3 AS INT)), substr({_BASES.format("CAST(l_orderkey AS STRING)")}, 1, CAST(l_suppkey % 3 AS INT))) AS ref,
           concat(substr({_BASES.format("CAST(l_partkey AS STRING)")}, 1, CAST(1 + l_linenumber % 2 AS INT)), substr({_BASES.format("CAST(l_suppkey AS STRING)")}, 1, CAST(l_orderkey % 3 AS INT))) AS alt,
           CASE WHEN l_linenumber % 3 = 0 THEN substr({_BASES.format("CAST(l_partkey + 1 AS STRING)")}, 1, 2) ELSE '' END AS alt2,
           CASE WHEN l_returnflag = 'R' THEN 'q10' WHEN l_returnflag = 'A' THEN 'PASS' ELSE '.' END AS filter, CAST(l_quantity AS BIGINT) AS dp
         FROM lineitem"""),
     "rsids": (["orders"], f"""
-        SELECT o_orderkey AS rs, concat('chr', CAST(1 + o_custkey % 22 AS STRING)) AS chrom, 100 + o_orderkey * 7 + 1 AS pos, substr('ACGT', CAST(1 + o_orderkey % 4 AS INT), 1) AS ref, substr('CGTA', CAST(1 + o_orderkey % 4 AS INT), 1) AS alt FROM orders"""),
+        SELECT o_orderkey AS rs, {_chrom('o_custkey % 26')} AS chrom, 100 + o_orderkey * 7 + 1 AS pos, substr('ACGT', CAST(1 + o_orderkey % 4 AS INT), 1) AS ref, substr('CGTA', CAST(1 + o_orderkey % 4 AS INT), 1) AS alt FROM orders"""),
     "clinvar": (["orders", "customer"], """
         SELECT o_orderkey AS vcv, o_orderkey AS rs, concat('GENE', CAST(c_nationkey AS STRING)) AS gene,
           CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Pathogenic' WHEN 'BUILDING' THEN 'Likely pathogenic' WHEN 'FURNITURE' THEN 'Uncertain significance' WHEN 'MACHINERY' THEN 'Likely benign' ELSE 'Benign' END AS significance,
@@ -138,18 +149,19 @@ def _order(names) -> list[str]:
     return out
 
 
-def _spread(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A hint to deal a small file anew: one row group is one task, however many cores there are. Large inputs have enough
-    row groups and are read as they lie."""
-    if name not in ("lineitem", "orders", "part"):
-        return ""
-    size = spark.read.parquet(f"{sf_dir}/{name}.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return f"/*+ REPARTITION({spark.sparkContext.defaultParallelism}) */ " if 1 << 20 < int(size) < 1 << 30 else ""
+#: Session option: into how many tasks the large base tables are dealt, where their files have one row group each, as the
+#: test tables have. Unset, tables are read as they lie.
+DEAL = "spark.nomenspark.deal"
+
+
+def _deal(spark: SparkSession, name: str) -> str:
+    n = spark.conf.get(DEAL, None) if name in ("lineitem", "orders", "part") else None
+    return f"/*+ REPARTITION({int(n)}) */ " if n else ""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table."""
     chain = _order([name])
     base = dict.fromkeys(b for t in chain for b in TABLES[t][0] if b in BASE)
-    parts = [f"{b} AS (SELECT {_spread(spark, sf_dir, b)}* FROM parquet.`{sf_dir}/{b}.parquet`)" for b in base] + [f"{t} AS ({TABLES[t][1]})" for t in chain]
+    parts = [f"{b} AS (SELECT {_deal(spark, b)}* FROM parquet.`{sf_dir}/{b}.parquet`)" for b in base] + [f"{t} AS ({TABLES[t][1]})" for t in chain]
     return spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequences import CODONS, amino_acid, let, translate
+from .sequences import CODONS, amino_acid, common_prefix, let, translate
 
 #: term, rank (most severe highest). Fixed values of the Sequence Ontology's terms and the usual order.
 CONSEQUENCES = (
@@ -127,20 +127,38 @@ def protein_description(accession: Column, number: Column, ref: Column, alt: Col
 
 def indel_effect(cds: Column, s: Column, e: Column, payload: Column) -> Column:
     """struct(kind, number, distance) of replacing [s, e) (0-based) of a coding sequence with what follows it: identity,
-    frameshift with the first changed residue and the distance to the new stop (null if none), or in-frame."""
-    mutant = F.concat(F.substring(cds, F.lit(1), s.cast("int")), payload, F.substr(cds, (e + 1).cast("int")))
-    parts = F.struct(translate(cds).alias("old"), translate(mutant).alias("new"), (F.length(payload) - (e - s)).alias("net"))
+    frameshift with the first changed residue and the distance to the new stop (null if none), or in-frame. Codons before
+    the edited one are read for a stop only, and the rest as far as a change and the stops ask for it."""
+    first = (F.floor(s / 3) * 3).cast("int")  # of the edited codon, which is where the two proteins may part
+    tail = F.concat(F.substring(cds, first + 1, (s - first).cast("int")), payload, F.substr(cds, (e + 1).cast("int")))
+    given = F.struct(first.alias("first"), F.substr(cds, first + 1).alias("old"), tail.alias("new"), (F.length(payload) - (e - s)).alias("net"))
 
-    def read(x: Column) -> Column:
-        from .sequences import common_prefix
+    def read(x: Column, bases: int | None) -> Column:
+        take = lambda c: translate(c if bases is None else F.substring(c, 1, bases))
 
-        def place(i: Column) -> Column:
-            stop = F.instr(F.substr(x["new"], i + 1), "*")
+        def place(t: Column) -> Column:
+            stop = F.instr(F.substr(t["new"], t["i"] + 1), "*")
             shifted = (F.abs(x["net"]) % 3) != 0
-            same = F.substring_index(x["old"], "*", 1) == F.substring_index(x["new"], "*", 1)
+            # a stop before the edit ends both proteins alike
+            same = stopped(F.substring(cds, F.lit(1), x["first"])) | (F.substring_index(t["old"], "*", 1) == F.substring_index(t["new"], "*", 1))
             kind = F.when(same, "identity").when(shifted & (stop == 1), "stop_gained").when(shifted, "frameshift").otherwise("in_frame")
-            return F.struct(kind.alias("kind"), F.when(kind != "identity", i + 1).cast("long").alias("number"), F.when((kind == "frameshift") & (stop > 0), stop).cast("int").alias("distance"))
+            at = x["first"] / 3 + t["i"]
+            out = F.struct(kind.alias("kind"), F.when(kind != "identity", at + 1).cast("long").alias("number"), F.when((kind == "frameshift") & (stop > 0), stop).cast("int").alias("distance"))
+            if bases is None:
+                return out
+            # enough was read if the proteins part within it, and the stops that the answer needs lie in it
+            whole = (F.length(x["old"]) <= bases) & (F.length(x["new"]) <= bases)
+            known = (t["i"] < F.least(F.length(t["old"]), F.length(t["new"]))) & ((stop > 0) | ~shifted)
+            return F.when(whole | (known & ~same) | (same & (F.instr(t["old"], "*") > 0)), out)
 
-        return let(common_prefix(x["old"], x["new"]), place)
+        def compared(t: Column) -> Column:
+            return let(F.struct(t["old"].alias("old"), t["new"].alias("new"), common_prefix(t["old"], t["new"]).alias("i")), place)
 
-    return let(parts, read)
+        return let(F.struct(take(x["old"]).alias("old"), take(x["new"]).alias("new")), compared)
+
+    return let(given, lambda x: F.coalesce(read(x, 192), read(x, None)))
+
+
+def stopped(seq: Column) -> Column:
+    """Whether one of the whole codons is a stop."""
+    return F.concat(F.lit(""), F.upper(F.translate(seq, "Uu", "TT"))).rlike("^(?:...)*?(?:TAA|TAG|TGA)")

@@ -7,10 +7,9 @@ of a common form, which descriptions.parse() reads in the JVM; parse_all() sends
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -443,51 +442,65 @@ def write_text(phase: str, members: list[Member]) -> str:
 
 
 MEMBER = "struct<accession:string,gene:string,axis:string,start:string,end:string,edit:string,ref:string,alt:string,count:string,predicted:boolean>"
-PARSED = f"phase string, members array<{MEMBER}>, error string, error_at int, canonical string"
 
 
-def parse_column(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, phase, members, error, error_at and canonical of every row: errors are data. A null text is an error at 0."""
+_STRUCT = f"struct<phase:string,members:array<{MEMBER}>,error:string,error_at:int,canonical:string>"
+_ARROW = pa.struct([
+    ("phase", pa.string()), ("members", pa.list_(pa.struct([(f.name, pa.bool_() if f.name == "predicted" else pa.string()) for f in fields(Member)]))),
+    ("error", pa.string()), ("error_at", pa.int32()), ("canonical", pa.string()),
+])
+
+
+def read_row(text: str) -> dict:
+    """The fields of a description, or why and where it is none."""
+    try:
+        phase, members = parse_text(text)
+    except Refused as e:
+        return {"error": e.why, "error_at": e.at}
+    return {"phase": phase, "members": [vars(m) for m in members], "canonical": write_text(phase, members)}
+
+
+def _udf():
+    """As read_row() over Arrow arrays; null gives null, so that only texts that need it are read."""
+
+    @F.arrow_udf(_STRUCT)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else read_row(t) for t in texts.to_pylist()], _ARROW)
+
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                try:
-                    phase, members = parse_text(t or "")
-                    rows.append((phase, [asdict(m) for m in members], None, None, write_text(phase, members)))
-                except Refused as e:
-                    rows.append((None, None, e.why, e.at, None))
-            out = pd.DataFrame(rows, columns=["phase", "members", "error", "error_at", "canonical"])
-            out["error_at"] = out["error_at"].astype("Int32")
-            out.insert(0, "text", b["text"].to_numpy())
-            out.insert(0, "key", b["key"].to_numpy())
-            yield out
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, text string, {PARSED}").withColumnsRenamed({"key": key, "text": text})
+def parse_column(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, phase, members, error, error_at and canonical of every row: errors are data. A null text is an error at 0."""
+    read = df.select(F.col(key), F.col(text), _udf()(F.coalesce(F.col(text), F.lit(""))).alias("_r"))
+    return read.select(key, text, "_r.*")
 
 
-#: Common forms that are valid and canonical as they stand, but for the order of their positions.
-_PLAIN_NA = r"^(?:(?:NC|NG|NT|NW|NM|NR|XM|XR)_\d+(?:\.\d+)?):[gcnm]\.([1-9]\d{0,17})(?:[ACGT]>[ACGT]|del|dup|=|_([1-9]\d{0,17})(?:del|dup|inv|=|delins[ACGT]+|ins[ACGT]+))$"
-_PLAIN_P = rf"^(?:NP|XP)_\d+(?:\.\d+)?:p\.(?!Met1[A-Z])(?:{'|'.join(AMINO)})[1-9]\d{{0,17}}(?:{'|'.join(AMINO)})$"
+#: Accessions of the common forms that are valid and canonical as they stand.
+_PLAIN = r"^(?:N[CGTWMRP]|X[MRP])_\d+(?:\.\d+)?$"
 
 
 def parse_all(df: DataFrame, key: str, text: str) -> DataFrame:
-    """As parse_column(), with the common forms read in the JVM and only the rest in Python."""
-    t = F.col(text)
-    lo, hi = F.regexp_extract(t, _PLAIN_NA, 1).try_cast("long"), F.regexp_extract(t, _PLAIN_NA, 2).try_cast("long")
-    plain = F.coalesce((t.rlike(_PLAIN_NA) & (hi.isNull() | (lo < hi))) | t.rlike(_PLAIN_P), F.lit(False))
-    v = df.where(plain).select(F.col(key), t, parse_common(t).alias("v"))
-    place = lambda x: F.col(f"v.{x}").cast("string")
-    empty, null = F.lit(""), lambda kind: F.lit(None).cast(kind)
+    """As parse_column(), with the common forms read in the JVM and only the rest in Python, in one pass over the rows."""
+    rows = df.select(F.col(key), F.col(text), parse_common(F.col(text)).alias("_v"))
+    v = lambda x: F.col(f"_v.{x}")
+    body = F.substring_index(text, ":", -1)
+    ranged = body.contains("_")
+    nucleic = v("axis").isin("g", "c", "n", "m") & ~v("accession").rlike("^.P_") & F.when(ranged, v("s") < v("e")).otherwise(v("edit").isin("sub", "del", "dup", "identity"))
+    protein = (v("edit") == "missense") & v("accession").rlike("^.P_") & v("ref").isin(*AMINO) & v("alt").isin(*AMINO) & ~((v("s") == 1) & (v("ref") == "Met")) & ~body.contains("(")
+    plain = F.coalesce(v("accession").rlike(_PLAIN) & (nucleic | protein), F.lit(False))
+    rows = rows.withColumn("_plain", plain)
+    rows = rows.withColumn("_r", _udf()(F.when(~F.col("_plain"), F.coalesce(F.col(text), F.lit("")))))
+    empty = F.lit("")
     member = F.struct(
-        F.col("v.accession").alias("accession"), empty.alias("gene"), F.col("v.axis").alias("axis"), place("s").alias("start"), place("e").alias("end"),
-        F.when(F.col("v.edit") == "missense", "sub").otherwise(F.col("v.edit")).alias("edit"), F.col("v.ref").alias("ref"), F.col("v.alt").alias("alt"), empty.alias("count"), F.lit(False).alias("predicted"),
+        v("accession").alias("accession"), empty.alias("gene"), v("axis").alias("axis"), v("s").cast("string").alias("start"), v("e").cast("string").alias("end"),
+        F.when(v("edit") == "missense", "sub").otherwise(v("edit")).alias("edit"), v("ref").alias("ref"), v("alt").alias("alt"), empty.alias("count"), F.lit(False).alias("predicted"),
+    )
+    either = lambda mine, name: F.when(F.col("_plain"), mine).otherwise(F.col(f"_r.{name}")).alias(name)
+    return rows.select(
+        key, text, either(F.lit("single"), "phase"), either(F.array(member).cast(f"array<{MEMBER}>"), "members"), F.col("_r.error").alias("error"),
+        F.col("_r.error_at").alias("error_at"), either(F.col(text), "canonical"),
     )
-    done = v.select(key, text, F.lit("single").alias("phase"), F.array(member).cast(f"array<{MEMBER}>").alias("members"), null("string").alias("error"), null("int").alias("error_at"), F.concat(t, empty).alias("canonical"))
-    return done.unionByName(parse_column(df.where(~plain).select(key, text), key, text))
 
 
 def parsed(text: Column) -> Column:
@@ -495,23 +508,6 @@ def parsed(text: Column) -> Column:
     return _udf()(text)
 
 
-def _udf():
-    @F.pandas_udf(f"struct<phase:string,members:array<{MEMBER}>,error:string,error_at:int,canonical:string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            try:
-                phase, members = parse_text(t or "")
-                rows.append((phase, [asdict(m) for m in members], None, None, write_text(phase, members)))
-            except Refused as e:
-                rows.append((None, None, e.why, e.at, None))
-        out = pd.DataFrame(rows, columns=["phase", "members", "error", "error_at", "canonical"])
-        out["error_at"] = out["error_at"].astype("Int32")
-        return out
-
-    return run
-
-
 def register(spark) -> None:
     """variant_parse(text) in SQL."""
     spark.udf.register("variant_parse", _udf())

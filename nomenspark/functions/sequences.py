@@ -12,6 +12,10 @@ CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {a + b + c: CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
 
 
+#: The human mitochondrion's record, which is described on an axis of its own. A fixed value.
+MITOCHONDRION = "NC_012920."
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -51,15 +55,27 @@ def translate_to_stop(seq: Column) -> Column:
     return F.substring_index(translate(seq), "*", 1)
 
 
+#: Places that are compared one by one before a search, and bases of a window that is looked at before the rest of a sequence.
+NEAR, WINDOW = 8, 64
+
+
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix, by halving steps: 25 comparisons a row whatever the lengths (up to 2^25)."""
+    """Length of the common prefix: the first places are compared one by one; beyond them by halving steps, as many as the
+    shorter string's length has binary digits."""
 
     def search(x: Column) -> Column:
-        def step(n: Column, by: Column) -> Column:
+        def step(n: Column, k: Column) -> Column:
+            by = F.call_function("shiftleft", F.lit(1), k)
             longer = (n + by <= x["n"]) & (F.substring(x["a"], n + 1, by) == F.substring(x["b"], n + 1, by))
             return F.when(longer, n + by).otherwise(n)
 
-        return F.aggregate(F.array(*[F.lit(1 << k) for k in range(24, -1, -1)]), F.lit(0), step)
+        digits = F.length(F.bin(x["n"].cast("long")))
+        steps = F.aggregate(F.sequence(digits - 1, F.lit(0), F.lit(-1)), F.lit(0), step)
+        near = F.when(x["n"] == 0, 0)
+        for i in range(NEAR):
+            differ = F.substring(x["a"], i + 1, 1) != F.substring(x["b"], i + 1, 1)
+            near = near.when(differ, i).when(x["n"] == i + 1, i + 1)
+        return near.otherwise(steps)
 
     return let(F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n")), search)
 
@@ -104,14 +120,19 @@ def chance(seq: Column, found: Column) -> Column:
 
 
 def shift_deletion(seq: Column, s: Column, e: Column) -> Column:
-    """Places by which the deletion of [s, e) moves right: the common prefix of what starts at s and at e."""
-    return common_prefix(F.substr(seq, (s + 1).cast("int")), F.substr(seq, (e + 1).cast("int")))
+    """Places by which the deletion of [s, e) moves right: the common prefix of what starts at s and at e. The rest of the
+    sequence is read only if all of the next WINDOW bases allow the move."""
+    near = common_prefix(part(seq, s, F.lit(WINDOW)), part(seq, e, F.lit(WINDOW)))
+    rest = lambda x: F.substr(seq, (x + 1).cast("int"))
+    return let(near, lambda k: F.when(k < WINDOW, k).otherwise(common_prefix(rest(s), rest(e))))
 
 
 def shift_insertion(seq: Column, s: Column, payload: Column) -> Column:
     """Places by which an insertion before s moves right: the common prefix of what follows and the payload repeated."""
     rest = F.substr(seq, (s + 1).cast("int"))
-    return F.when(F.length(payload) == 0, F.lit(0)).otherwise(common_prefix(rest, F.rpad(payload, F.length(rest), payload)))
+    near = common_prefix(part(seq, s, F.lit(WINDOW)), F.rpad(payload, WINDOW, payload))
+    far = common_prefix(rest, F.rpad(payload, F.length(rest), payload))
+    return F.when(F.length(payload) == 0, F.lit(0)).otherwise(let(near, lambda k: F.when(k < WINDOW, k).otherwise(far)))
 
 
 def rotate(payload: Column, by: Column) -> Column:
@@ -186,6 +207,17 @@ def described(accession: Column, seq: Column, c: Column, axis: str = "g") -> Col
     return F.concat(accession, F.lit(f":{axis}."), body)
 
 
+def stated_mismatch(stated: Column, held: Column) -> Column:
+    """W5001 if bases are stated that the reference doesn't hold there; N matches any base."""
+    odd = (F.length(stated) != F.length(held)) | F.exists(F.sequence(F.lit(1), F.greatest(F.length(stated), F.lit(1))), lambda i: ~F.substring(stated, i, F.lit(1)).isin("N", "n") & (F.upper(F.substring(stated, i, F.lit(1))) != F.upper(F.substring(held, i, F.lit(1)))))
+    return F.when((stated != "") & (stated != held) & odd, "W5001")
+
+
+def verdict(warning: Column, policy: Column) -> Column:
+    """What a policy makes of a warning: strict refuses it, lenient accepts with it, silent accepts."""
+    return F.when(warning.isNotNull() & (policy == "strict"), "refused").otherwise("accepted")
+
+
 def applied(seq: Column, s: Column, e: Column, payload: Column) -> Column:
     """The sequence with [s, e) replaced."""
     return F.concat(part(seq, F.lit(0), s), payload, F.substr(seq, (e + 1).cast("int")))
@@ -244,7 +276,7 @@ def from_spdi(v: Column) -> Column:
         .when((kind == "insertion") & (v["position"] > 0), F.concat(v["position"].cast("string"), F.lit("_"), lo, F.lit("ins"), i))
         .when((kind == "delins") & inverted, F.concat(place, F.lit("inv"))).when(kind == "delins", F.concat(place, F.lit("delins"), i))
     )
-    return F.concat(v["sequence"], F.lit(":g."), body)
+    return F.concat(v["sequence"], F.when(v["sequence"].startswith(MITOCHONDRION), ":m.").otherwise(":g."), body)
 
 
 # ---- repeats

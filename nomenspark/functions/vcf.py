@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequences import common_prefix, common_suffix, let, reverse_complement
+from .sequences import MITOCHONDRION, common_prefix, common_suffix, let, reverse_complement
 
 FIELDS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 
@@ -16,7 +16,10 @@ def parse_line(line: Column) -> Column:
     get = lambda i: F.try_element_at(f, F.lit(i + 1))
     missing = lambda x: F.when(x != ".", x)
     flags = F.filter(F.split(F.coalesce(missing(get(7)), F.lit("")), ";"), lambda x: x != "")
-    info = F.map_from_entries(F.array_distinct(F.transform(flags, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(x.contains("="), F.substr(x, F.instr(x, "=") + 1)).otherwise("").alias("value")))))
+    entries = F.transform(flags, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(x.contains("="), F.substr(x, F.instr(x, "=") + 1)).otherwise("").alias("value")))
+    keys = F.array_distinct(F.transform(entries, lambda x: x["key"]))
+    last = let(F.reverse(entries), lambda e: F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(e, lambda x: x["key"] == k), 1)["value"].alias("value"))))
+    info = F.map_from_entries(last)  # a repeated key has its last value
     ok = ~line.startswith("#") & (F.size(f) >= 8) & get(1).try_cast("long").isNotNull()
     return F.when(ok, F.struct(
         get(0).alias("chrom"), get(1).try_cast("long").alias("pos"), missing(get(2)).alias("id"), F.upper(get(3)).alias("ref"),
@@ -68,7 +71,7 @@ def description(accession: Column, pos: Column, ref: Column, alt: Column, most_s
             .when(a == 0, F.concat(place, F.lit("del"), F.when(r <= most_stated, t["ref"]).otherwise("")))
             .when(r == 0, F.concat((t["pos"] - 1).cast("string"), F.lit("_"), lo, F.lit("ins"), t["alt"])).otherwise(F.concat(place, F.lit("delins"), t["alt"]))
         )
-        return F.concat(accession, F.lit(":g."), body)
+        return F.concat(accession, F.when(accession.startswith(MITOCHONDRION), ":m.").otherwise(":g."), body)
 
     return let(trim(pos, ref, alt), say)
 
@@ -86,9 +89,3 @@ def record(edit: Column, s: Column, e: Column, alt: Column, given: Column, seq:
         .when((edit == "delins") & (s > 1), out(s - 1, F.concat(anchor, old), F.concat(anchor, alt))).when(edit == "dup", out(e, last, F.concat(last, old)))
         .when(edit == "inv", out(s, old, reverse_complement(old))).when(edit == "identity", out(s, old, old))
     )
-
-
-def accession_of(chrom: Column) -> Column:
-    """chrN or N of build 38 as a contig of this family's naming."""
-    n = F.regexp_extract(chrom, r"^(?:chr)?(\d+)$", 1)
-    return F.when(n != "", F.concat(F.lit("NC_0000"), F.lpad(n, 2, "0"), F.lit(".11")))

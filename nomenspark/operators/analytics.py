@@ -35,16 +35,24 @@ def stratified(rows: DataFrame, by: str, key: str, n: int, seed: int) -> DataFra
 
 
 def shards(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """rows with shard, 0 to n - 1, of nearly equal sizes and the same in every run: dealt in turn within 64 hash ranges, each
-    starting where the one before ended."""
+    """rows with shard, 0 to n - 1, of nearly equal sizes and the same in every run: dealt in turn within 65,536 hash ranges,
+    each starting where the one before ended. A task orders a few ranges, however many rows there are."""
     h = F.md5(F.col(key))
-    dealt = rows.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % 64})
+    dealt = rows.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, 4), 16, 10).cast("int")})
     cells = dealt.groupBy("_b").agg(F.count("*").alias("_n"))
-    cells = cells.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))  # 64 rows
+    cells = cells.select("_b", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))  # 65,536 rows at most
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
     return dealt.withColumn("_r", rank).join(cells, "_b").withColumn("shard", ((F.col("_before") + F.col("_r") - 1) % n).cast("long")).select(*rows.columns, "shard")
 
 
+def cancelling(members: DataFrame, by: list[str]) -> DataFrame:
+    """by, s, e, how many deletions and duplications, and the first vid, of the bases that an allele both deletes and
+    duplicates. members: by, vid, edit, s, e. Counts per class, so a crowded place emits no pairs."""
+    own = members.where(F.col("edit").isin("del", "dup")).groupBy(*by, "s", "e")
+    n = lambda x: F.count_if(F.col("edit") == x)
+    return own.agg(n("del").alias("deletions"), n("dup").alias("duplications"), F.min("vid").alias("first")).where("deletions > 0 AND duplications > 0")
+
+
 def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Per category, over inputs of either side: both ok, both failed, one side only, equal outputs among both ok, and their rate."""
     a = left.select(key, F.col("ok").alias("a"), F.col("output").alias("ao"), F.col("category").alias("ac"))

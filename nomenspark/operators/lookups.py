@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nomenspark.functions.descriptions import base_accession
 
+from .contigs import build_of
 from .intervals import stab
 
 
@@ -24,6 +25,27 @@ def resolve(wanted: DataFrame, transcripts: DataFrame) -> DataFrame:
     return joined.withColumn("found", F.coalesce("_exact", "_spare")).drop("_exact", "_base", "_spare")
 
 
+def lrg_names(hosted: DataFrame) -> DataFrame:
+    """acc (LRG_1t1, LRG_1) and tx, the RefSeq record that it stands for. hosted: ng, lrg, selector (t1) and tx."""
+    own = hosted.select(F.concat("lrg", "selector").alias("acc"), "tx")
+    return own.union(hosted.select("lrg", "ng").distinct())
+
+
+def sole_hosted(hosted: DataFrame) -> DataFrame:
+    """ng and tx of the genomic records that host one transcript only."""
+    return hosted.groupBy("ng").agg(F.count("*").alias("_n"), F.min("tx").alias("tx")).where("_n = 1").drop("_n")
+
+
+def on_build(placed: DataFrame, build: str) -> DataFrame:
+    """The placements (with a column build) of one build, by any of its names."""
+    return placed.where(build_of(F.col("build")) == build_of(F.lit(build)))
+
+
+def available_builds(placed: DataFrame) -> DataFrame:
+    """tx and its builds, in order of name."""
+    return placed.groupBy("tx").agg(F.array_sort(F.collect_set("build")).alias("builds"))
+
+
 def preferred(transcripts: DataFrame) -> DataFrame:
     """Per gene the transcript to report: MANE Select, else Plus Clinical, else coding, else any; the first by name."""
     rank = F.when(F.col("mane") == "select", 0).when(F.col("mane") == "plus_clinical", 1).when(F.col("cds_start").isNotNull(), 2).otherwise(3)
@@ -71,10 +93,12 @@ def lift(points: DataFrame, blocks: DataFrame, key: str, contig: str, at: str, p
     """
     spans = blocks.select("chain", "score", F.col("t_name").alias("_t"), "q_name", "q_strand", "q_size", "t_lo", "t_hi").distinct()
     own = points.withColumns({"_p0": F.col(at) - 1, "_t": F.col(contig)})
-    spanned = stab(own.select(key, "_t", "_p0"), spans, "_t", "_p0", "t_lo", "t_hi")
+    # chains span whole contigs, so they are dealt to wide bins; blocks are short and meet points in bins of their length
+    spanned = stab(own.select(key, "_t", "_p0"), spans, "_t", "_p0", "t_lo", "t_hi", 1 << 24)
     best = spanned.groupBy(key, "_p0").agg(F.max(F.struct("score", "chain", "q_name", "q_strand", "q_size")).alias("m"), (F.count("*") > 1).alias("several")).select(key, "_p0", "m.*", "several")
-    inside = (F.col("_p0") >= F.col("t0")) & (F.col("_p0") < F.col("t1"))
-    moved = best.join(blocks.select("chain", "t0", "t1", "q0"), "chain").withColumn("_q", F.when(inside, F.col("q0") + F.col("_p0") - F.col("t0")))
+    held = stab(own.select(key, "_t", "_p0"), blocks.select(F.col("t_name").alias("_t"), F.col("chain").alias("_chain"), "t0", "t1", "q0"), "_t", "_p0", "t0", "t1", 1 << 14)
+    held = held.select(F.col(key).alias("_key"), "_chain", (F.col("q0") + F.col("_p0") - F.col("t0")).alias("_q"))
+    moved = best.join(held, (F.col(key) == F.col("_key")) & (F.col("chain") == F.col("_chain")), "left")
     q = F.when(F.col("q_strand") == "-", F.col("q_size") - F.col("_q")).otherwise(F.col("_q") + 1)
     placed = moved.groupBy(key, "chain", "q_name", "several").agg(F.max(q).alias("q"))
     out = points.select(key).join(placed, key, "left")

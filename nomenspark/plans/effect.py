@@ -10,10 +10,11 @@ from nomenspark.functions import effects as E
 from nomenspark.functions import sequences as S
 from nomenspark.functions import vcf as V
 from nomenspark.operators import analytics as A
+from nomenspark.operators import contigs as K
 from nomenspark.operators import coordinates as C
 
 from .registry import Registry
-from .sequence import _CODONS, _PREFIX
+from .sequence import _CODONS, _KEY, _PREFIX
 from .text import variants
 
 query = Registry()
@@ -37,17 +38,42 @@ def q1t(spark, d):
     return records(spark, d).select("vid", V.trim(c("pos"), c("ref"), c("alt")).alias("x")).select("vid", "x.*")
 
 
-@query("q1_record_to_description", _REC + """SELECT vid, concat('NC_0000', lpad(substr(chrom, 4), 2, '0'), '.11:g.', CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN concat(pos, ref, '>', alt)
-  WHEN ref = '' THEN concat(pos - 1, '_', pos, 'ins', alt) ELSE concat(pos, CASE WHEN length(ref) > 1 THEN concat('_', pos + length(ref) - 1) ELSE '' END, CASE WHEN alt = '' THEN concat('del', ref) ELSE concat('delins', alt) END) END) AS description
-FROM r WHERE ref <> '' OR alt <> ''""", "vcf")
+#: The records of build 38, stated apart from the table that the engine joins.
+CONTIGS = """, contigs AS (SELECT * FROM (VALUES ('chr1', 'NC_000001.11'), ('chr2', 'NC_000002.12'), ('chr3', 'NC_000003.12'), ('chr4', 'NC_000004.12'), ('chr5', 'NC_000005.10'), ('chr6', 'NC_000006.12'), ('chr7', 'NC_000007.14'), ('chr8', 'NC_000008.11'),
+  ('chr9', 'NC_000009.12'), ('chr10', 'NC_000010.11'), ('chr11', 'NC_000011.10'), ('chr12', 'NC_000012.12'), ('chr13', 'NC_000013.11'), ('chr14', 'NC_000014.9'), ('chr15', 'NC_000015.10'), ('chr16', 'NC_000016.10'), ('chr17', 'NC_000017.11'),
+  ('chr18', 'NC_000018.10'), ('chr19', 'NC_000019.10'), ('chr20', 'NC_000020.11'), ('chr21', 'NC_000021.9'), ('chr22', 'NC_000022.11'), ('chrX', 'NC_000023.11'), ('Y', 'NC_000024.10'), ('chrM', 'NC_012920.1')) x(chrom, accession))
+"""
+
+
+def placed(spark, rows, build="GRCh38"):
+    """rows with the accession of chrom, and contig_error."""
+    return K.with_accession(rows, K.aliases(spark), "chrom", build)
+
+
+@query("q1_record_to_description", _REC + CONTIGS + """SELECT vid, concat(accession, CASE WHEN accession LIKE 'NC_012920%' THEN ':m.' ELSE ':g.' END, CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN concat(pos, ref, '>', alt)
+  WHEN ref = '' THEN concat(pos - 1, '_', pos, 'ins', alt) ELSE concat(pos, CASE WHEN length(ref) > 1 THEN concat('_', pos + length(ref) - 1) ELSE '' END, CASE WHEN alt = '' THEN concat('del', ref) ELSE concat('delins', alt) END) END) AS description,
+  CASE WHEN accession IS NULL THEN 'unknown_contig' WHEN ref = '' AND alt = '' THEN 'no_change' END AS error
+FROM (SELECT vid, accession, pos, ref, alt FROM r LEFT JOIN contigs USING (chrom)) WHERE accession IS NOT NULL AND (ref <> '' OR alt <> '')
+UNION ALL SELECT vid, NULL, CASE WHEN accession IS NULL THEN 'unknown_contig' ELSE 'no_change' END FROM r LEFT JOIN contigs USING (chrom) WHERE accession IS NULL OR (ref = '' AND alt = '')""", "vcf")
 def q1(spark, d):
-    x = records(spark, d).select("vid", V.description(V.accession_of(c("chrom")), c("pos"), c("ref"), c("alt")).alias("description"))
-    return x.where("description IS NOT NULL")
+    x = placed(spark, records(spark, d)).select("vid", "contig_error", V.description(c("accession"), c("pos"), c("ref"), c("alt")).alias("description"))
+    return x.select("vid", "description", F.coalesce("contig_error", F.when(c("description").isNull(), "no_change")).alias("error"))
 
 
-@query("q3_accessions", "SELECT DISTINCT chrom, concat('NC_0000', lpad(substr(chrom, 4), 2, '0'), '.11') AS accession FROM vcf", "vcf")
+@query("q3_accessions", CONTIGS + """SELECT DISTINCT 'GRCh38' AS build, v.chrom, accession, CASE WHEN accession IS NULL THEN 'unknown_contig' END AS contig_error FROM vcf v LEFT JOIN contigs USING (chrom)
+UNION ALL SELECT DISTINCT 'hg19', v.chrom, CASE WHEN accession LIKE 'NC_012920%' THEN accession ELSE concat(split_part(accession, '.', 1), '.', split_part(accession, '.', 2)::INT - 1) END, CASE WHEN accession IS NULL THEN 'unknown_contig' END FROM vcf v LEFT JOIN contigs USING (chrom)
+UNION ALL SELECT DISTINCT 'mm10', chrom, NULL, 'unknown_build' FROM vcf""", "vcf")
 def q3(spark, d):
-    return records(spark, d).select("chrom").distinct().select("chrom", V.accession_of(c("chrom")).alias("accession"))
+    """Each build's accessions, by any of its names; the older human build is one version behind throughout."""
+    names = records(spark, d).select("chrom").distinct().withColumn("build", F.explode(F.array(F.lit("GRCh38"), F.lit("hg19"), F.lit("mm10"))))
+    return placed(spark, names, c("build")).select("build", "chrom", "accession", "contig_error")
+
+
+@query("q3_names_of_accessions", CONTIGS + "SELECT DISTINCT accession, CASE chrom WHEN 'Y' THEN 'chrY' ELSE chrom END AS name, 'GRCh38' AS build FROM vcf JOIN contigs USING (chrom) UNION ALL SELECT 'NC_000099.1', NULL, NULL", "vcf")
+def q3b(spark, d):
+    found = placed(spark, records(spark, d).select("chrom").distinct()).where("accession IS NOT NULL").select("accession")
+    other = spark.createDataFrame([("NC_000099.1",)], "accession string")
+    return K.named(found.union(other), K.aliases(spark), "accession").select("accession", "name", "build")
 
 
 @query("q5_edit_to_record", """, x AS (SELECT vid, seq, s + 1 AS s, CASE WHEN e > s THEN e ELSE s + 1 END AS e, payload, CASE vid % 5 WHEN 0 THEN 'del' WHEN 1 THEN 'dup' WHEN 2 THEN 'inv' WHEN 3 THEN 'delins' ELSE 'ins' END AS edit FROM edits WHERE payload <> '')
@@ -149,7 +175,6 @@ def r6(spark, d):
     return x.select("vid", "tx", E.decay(c("exons"), c("n"), c("cds_end"), c("last")).alias("x")).select("vid", "tx", "x.*")
 
 
-ORACLE["r6_decay"] = ORACLE["r6_decay"].replace("cds_end IS NOT NULL)", "cds_end IS NOT NULL)")
 
 
 @query("r7_start_context", "SELECT k, CASE WHEN substr(seq, 14, 1) IN ('A', 'G') AND substr(seq, 20, 1) = 'G' THEN 'strong' WHEN substr(seq, 14, 1) IN ('A', 'G') OR substr(seq, 20, 1) = 'G' THEN 'adequate' ELSE 'weak' END AS strength FROM sequences", "sequences")
@@ -280,7 +305,8 @@ def x5(spark, d):
     return A.batch(variants(spark, d).select(parse(text)["edit"].isNotNull().alias("ok")))
 
 
-@query("p4_all_equivalent", "SELECT acc, count(DISTINCT edit) = 1 AS same FROM variants GROUP BY acc", "variants")
+@query("p4_all_equivalent", _KEY + "SELECT acc, count(*) AS n, min(key) IS NOT DISTINCT FROM max(key) AS same, min(vid) AS head FROM w GROUP BY acc", "edits")
 def p4(spark, d):
-    x = variants(spark, d).select("acc", "edit").withColumn("head", F.min("edit").over(Window.partitionBy("acc")))
-    return x.groupBy("acc").agg(F.every(c("edit") == c("head")).alias("same"))
+    """Whether all changes of a sequence are one and the same, by their canonical keys."""
+    x = t(spark, d, "edits").select("vid", "acc", S.canonical_spdi(c("acc"), c("seq"), c("s"), c("e"), c("payload")).alias("key"))
+    return x.groupBy("acc").agg(F.count("*").alias("n"), (F.min("key").eqNullSafe(F.max("key"))).alias("same"), F.min("vid").alias("head"))

@@ -12,6 +12,7 @@ from nomenspark.operators import coordinates as C
 from nomenspark.sources import genomics as G
 from nomenspark.sources import sinks, text
 
+from .effect import CONTIGS, placed
 from .registry import Registry
 from .text import variants
 
@@ -94,7 +95,7 @@ def c13(spark, d):
 
 @query("c4_full_grammar", "SELECT edit, count(*) AS n, count(*) AS same FROM (SELECT CASE WHEN edit = 'missense' THEN 'sub' ELSE edit END AS edit FROM variants) GROUP BY edit", "variants")
 def c4(spark, d):
-    p = grammar.parse_column(variants(spark, d), "vid", "description")
+    p = grammar.parse_all(variants(spark, d), "vid", "description")
     return p.groupBy(F.element_at("members", 1)["edit"].alias("edit")).agg(F.count("*").alias("n"), F.count_if(c("canonical") == c("description")).alias("same"))
 
 
@@ -114,14 +115,21 @@ def g_errors(spark, d):
     return grammar.parse_all(x, "vid", "text").groupBy("error").agg(F.count("*").alias("n"), F.min("error_at").cast("long").alias("first"))
 
 
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir; on one machine, where it is unset, a temporary folder."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="nomenspark-stream-")
+
+
 @query("x4_stream")
 def x4(spark, d):
     """Descriptions written as files of lines, read as a stream, and the categories of what the stream wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="nomenspark-stream-")  # one machine only: a cluster sets the folder
+    base = shared_folder(spark)
     root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     sinks.write_text(variants(spark, d), "description", f"{root}/in")
     streaming.write(streaming.described(streaming.read_lines(spark, f"{root}/in")), f"{root}/out", f"{root}/state").awaitTermination()
@@ -133,12 +141,10 @@ ORACLE["x4_stream"] = corpus.with_tables("variants") + """SELECT CASE WHEN axis
   WHEN axis = 'p' THEN 'protein_sub' ELSE 'noncoding' END AS category, count(*) AS n FROM variants GROUP BY 1"""
 
 
-@query("q9_multi_isoform", """, r AS (SELECT vid, concat('NC_0000', lpad(substr(chrom, 4), 2, '0'), '.11') AS contig, 1000 + pos % 92000 AS g FROM vcf)
+@query("q9_multi_isoform", CONTIGS + """, r AS (SELECT vid, accession AS contig, 1000 + pos % 92000 AS g FROM vcf JOIN contigs USING (chrom))
 SELECT r.vid, gene, e.tx, t0 + 1 + CASE WHEN e.strand = 1 THEN g - 1 - x0 ELSE x1 - g END AS n FROM r JOIN exons e ON r.contig = e.contig AND g - 1 >= x0 AND g - 1 < x1 JOIN transcripts x ON x.tx = e.tx WHERE cds_start IS NOT NULL""", "vcf", "exons", "transcripts")
 def q9(spark, d):
-    """Records on every coding transcript with an exon there."""
-    from nomenspark.functions import vcf as V
-
-    points = t(spark, d, "vcf").select("vid", V.accession_of(c("chrom")).alias("contig"), (1000 + c("pos") % 92000).alias("g"))
+    """Records on every coding transcript with an exon there, whether their contigs are named with chr or without."""
+    points = placed(spark, t(spark, d, "vcf")).where("accession IS NOT NULL").select("vid", c("accession").alias("contig"), (1000 + c("pos") % 92000).alias("g"))
     x = C.genome_to_tx(points, t(spark, d, "exons"))
     return x.join(t(spark, d, "transcripts").where("cds_start IS NOT NULL").select("tx", "gene"), "tx").select("vid", "gene", "tx", "n")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nomenspark import corpus
 from nomenspark.functions import descriptions as D
 from nomenspark.functions import sequences as S
+from nomenspark.operators import analytics as A
+from nomenspark.operators import contigs as K
 from nomenspark.operators import coordinates as C
 from nomenspark.operators import lookups as L
 from nomenspark.operators.intervals import stab
 
+from .effect import CONTIGS
 from .registry import Registry
 
 query = Registry()
@@ -113,7 +117,7 @@ def j10(spark, d):
     return L.ranked(one, "vid").select("vid", "tx", "rank")
 
 
-ORACLE["j10_ranked_transcripts"] = ORACLE["j10_ranked_transcripts"].replace("FROM hits)", "FROM (SELECT DISTINCT * FROM hits))").replace("x.cds_start FROM points", "x.cds_start FROM points", 1)
+ORACLE["j10_ranked_transcripts"] = ORACLE["j10_ranked_transcripts"].replace("FROM hits)", "FROM (SELECT DISTINCT * FROM hits))")
 
 
 @query("k2_newest_version", "SELECT regexp_replace(tx, '\\.\\d+$', '') AS base, max_by(tx, regexp_extract(tx, '\\.(\\d+)$', 1)::INT) AS tx FROM transcripts GROUP BY 1", "transcripts")
@@ -129,9 +133,9 @@ def k1(spark, d):
     return L.resolve(x.select("k", acc.alias("acc")), x)
 
 
-@query("k3_windows", "SELECT vid, acc, s, e, substr(seq, s + 1, e - s) AS bases FROM (SELECT DISTINCT vid, acc, seq, s, s + 70 + vid % 40 AS e FROM (SELECT vid, acc, seq, s::BIGINT AS s FROM edits)) WHERE e <= 256", "edits")
+@query("k3_windows", "SELECT vid, acc, s, e, substr(seq, s + 1, e - s) AS bases FROM (SELECT DISTINCT vid, acc, seq, s, s + 70 + vid % 40 AS e FROM (SELECT vid, acc, seq, s::BIGINT AS s FROM edits))", "edits")
 def k3(spark, d):
-    need = t(spark, d, "edits").select("vid", "acc", c("s").cast("long").alias("s")).withColumn("e", c("s") + 70 + c("vid") % 40).where("e <= 256").distinct()
+    need = t(spark, d, "edits").select("vid", "acc", c("s").cast("long").alias("s")).withColumn("e", c("s") + 70 + c("vid") % 40).distinct()
     return L.window(need, L.chunks(t(spark, d, "sequences")), "vid")
 
 
@@ -147,11 +151,10 @@ def k6(spark, d):
         F.count_if(c("mane") == "plus_clinical").alias("n_plus"), F.count_distinct(F.when(c("mane") != "none", c("gene"))).alias("genes_mane"))
 
 
-@query("k7_contig_names", "SELECT DISTINCT contig, concat('chr', substr(contig, 8, 2)::INT) AS name, 'GRCh38' AS build FROM points WHERE true", "points")
+@query("k7_contig_names", CONTIGS + """SELECT DISTINCT contig, chrom AS name, 'GRCh38' AS build FROM points JOIN contigs ON accession = contig""", "points")
 def k7(spark, d):
-    """Contig accessions as names: versions of this family in build 38 end in 11 here, and the number follows the zeros."""
-    name = F.concat(F.lit("chr"), F.regexp_extract("contig", r"^NC_0*(\d+)\.", 1))
-    return t(spark, d, "points").select("contig").distinct().select("contig", name.alias("name"), F.when(c("contig").endswith(".11"), "GRCh38").alias("build"))
+    """Contig accessions as names and builds, by the table of aliases."""
+    return K.named(t(spark, d, "points").select("contig").distinct(), K.aliases(spark), "contig").select("contig", "name", "build")
 
 
 _LIFT = """, spans AS (SELECT DISTINCT chain, score, t_name, q_name, q_strand, q_size, t_lo, t_hi FROM chain_blocks), pts AS (SELECT DISTINCT vid, contig, {at} AS p1 FROM lifts),
@@ -204,11 +207,11 @@ def v1(spark, d):
     return t(spark, d, "clinvar").join(t(spark, d, "rsids"), "rs").select("vcv", "chrom", "pos", "ref", "alt", "significance")
 
 
-@query("v2_rs_to_description", "SELECT rs, concat('NC_0000', lpad(substr(chrom, 4), 2, '0'), '.11:g.', pos, ref, '>', alt) AS description FROM rsids", "rsids")
+@query("v2_rs_to_description", CONTIGS + "SELECT rs, accession || CASE chrom WHEN 'chrM' THEN ':m.' ELSE ':g.' END || pos || ref || '>' || alt AS description, CASE WHEN accession IS NULL THEN 'unknown_contig' END AS error FROM rsids LEFT JOIN contigs USING (chrom)", "rsids")
 def v2(spark, d):
-    acc = F.concat(F.lit("NC_0000"), F.lpad(F.substring("chrom", 4, 2), 2, "0"), F.lit(".11"))
-    v = F.struct(acc.alias("sequence"), (c("pos") - 1).alias("position"), c("ref").alias("deletion"), c("alt").alias("insertion"))
-    return t(spark, d, "rsids").select("rs", S.from_spdi(v).alias("description"))
+    x = K.with_accession(t(spark, d, "rsids"), K.aliases(spark), "chrom", "GRCh38")
+    v = F.struct(c("accession").alias("sequence"), (c("pos") - 1).alias("position"), c("ref").alias("deletion"), c("alt").alias("insertion"))
+    return x.select("rs", S.from_spdi(v).alias("description"), c("contig_error").alias("error"))
 
 
 @query("v3_pathogenic_in_gene", "SELECT gene, count(*) AS n, min(vcv) AS first FROM clinvar WHERE significance IN ('Pathogenic', 'Likely pathogenic') GROUP BY gene", "clinvar")
@@ -228,12 +231,21 @@ def w7(spark, d):
     return v.join(t(spark, d, "transcripts").select(c("tx").alias("acc")), "acc", "left_anti").groupBy("acc").agg(F.count("*").alias("n"))
 
 
-@query("t2_c_to_n_description", "SELECT v.vid, concat(tx, ':n.', cds_start + s - 1, ref, '>', alt) AS description FROM variants v JOIN transcripts ON k = v.s % 100 AND cds_start IS NOT NULL WHERE edit = 'sub' AND axis = 'c'", "variants", "transcripts")
+_OWN = """, own AS (SELECT v.vid, v.s, v.ref, v.alt, x.tx, x.cds_start FROM (SELECT *, concat('NM_', lpad((vid % 1500)::VARCHAR, 6, '0'), '.', 1 + vid % 3) AS wanted FROM variants WHERE edit = 'sub' AND axis = 'c') v
+  LEFT JOIN (SELECT w.acc, coalesce(e.tx, n.tx) AS tx FROM (SELECT DISTINCT concat('NM_', lpad((vid % 1500)::VARCHAR, 6, '0'), '.', 1 + vid % 3) AS acc FROM variants) w LEFT JOIN transcripts e ON e.tx = w.acc
+    LEFT JOIN (SELECT regexp_replace(tx, '\\.\\d+$', '') AS base, max(tx) AS tx FROM transcripts GROUP BY 1) n ON n.base = regexp_replace(w.acc, '\\.\\d+$', '')) m ON m.acc = v.wanted LEFT JOIN transcripts x ON x.tx = m.tx)
+"""
+
+
+@query("t2_c_to_n_description", _OWN + "SELECT vid, CASE WHEN cds_start IS NOT NULL THEN concat(tx, ':n.', cds_start + s - 1, ref, '>', alt) END AS description, CASE WHEN tx IS NULL THEN 'no_transcript' WHEN cds_start IS NULL THEN 'noncoding' END AS error FROM own", "variants", "transcripts")
 def t2(spark, d):
-    v = t(spark, d, "variants").where("edit = 'sub' AND axis = 'c'").withColumn("k", c("s") % 100)
-    x = v.join(t(spark, d, "transcripts").where("cds_start IS NOT NULL").select("k", "tx", "cds_start"), "k")
+    """Each coding substitution on the transcript that it names, or on the highest version of it; without one, an error."""
+    wanted = F.concat(F.lit("NM_"), F.lpad((c("vid") % 1500).cast("string"), 6, "0"), F.lit("."), (1 + c("vid") % 3).cast("string"))
+    v = t(spark, d, "variants").where("edit = 'sub' AND axis = 'c'").withColumn("acc", wanted)
+    x = t(spark, d, "transcripts")
+    own = L.resolve(v, x).join(x.select(c("tx").alias("found"), "cds_start"), "found", "left")
     n = c("cds_start") + c("s") - 1
-    return x.select("vid", D.write(c("tx"), F.lit("n"), n, n, c("edit"), c("ref"), c("alt")).alias("description"))
+    return own.select("vid", D.write(c("found"), F.lit("n"), n, n, c("edit"), c("ref"), c("alt")).alias("description"), F.when(c("found").isNull(), "no_transcript").when(c("cds_start").isNull(), "noncoding").alias("error"))
 
 
 @query("e5_zones", "SELECT CASE WHEN off IS NOT NULL THEN 'intron' WHEN utr3 THEN '3_utr' WHEN base < 0 THEN '5_utr' ELSE 'coding' END AS zone, count(*) AS n FROM cpos GROUP BY 1", "cpos", "transcripts")
@@ -242,12 +254,11 @@ def e5(spark, d):
     return t(spark, d, "cpos").groupBy(zone.alias("zone")).agg(F.count("*").alias("n"))
 
 
-@query("e7_cancelling_pairs", "SELECT a.vid AS deletion, b.vid AS duplication FROM variants a JOIN variants b ON a.s = b.s AND a.e = b.e AND a.axis = b.axis AND left(a.acc, 2) = left(b.acc, 2) WHERE a.edit = 'del' AND b.edit = 'dup' AND a.s % 50 = 7", "variants")
+@query("e7_cancelling_pairs", "SELECT vid // 10 AS allele, axis, s, e, count(*) FILTER (edit = 'del') AS deletions, count(*) FILTER (edit = 'dup') AS duplications, min(vid) AS first FROM variants WHERE edit IN ('del', 'dup') GROUP BY ALL HAVING deletions > 0 AND duplications > 0", "variants")
 def e7(spark, d):
-    """A deletion and a duplication of the same bases cancel one another in an allele."""
-    v = t(spark, d, "variants").where("s % 50 = 7").select("vid", "s", "e", "axis", "edit", F.substring("acc", 1, 2).alias("kind"))
-    a = v.where("edit = 'del'").select(c("vid").alias("deletion"), "s", "e", "axis", "kind")
-    return a.join(v.where("edit = 'dup'").select(c("vid").alias("duplication"), "s", "e", "axis", "kind"), ["s", "e", "axis", "kind"]).select("deletion", "duplication")
+    """A deletion and a duplication of the same bases of one allele cancel one another: an allele's members are the items of
+    one order here."""
+    return A.cancelling(t(spark, d, "variants").withColumn("allele", F.floor(c("vid") / 10)), ["allele", "axis"])
 
 
 @query("h2_intron_spelling_to_position", """, x AS (SELECT tx, cds_start, 1 + k % 2 AS intron, CASE WHEN k % 3 = 0 THEN 5 ELSE -4 END AS off FROM transcripts WHERE cds_start IS NOT NULL)
@@ -262,17 +273,49 @@ def h2(spark, d):
     return x.join(e, ["tx", "intron"]).select("tx", "intron", "off", base.alias("base"))
 
 
-@query("k8_sole_transcript_of_gene", "SELECT gene, min(tx) AS tx FROM transcripts WHERE mane <> 'none' GROUP BY gene HAVING count(*) = 1", "transcripts")
+_HOSTED = """, hosted AS (SELECT concat('NG_', lpad((k % 400)::VARCHAR, 6, '0'), '.1') AS ng, concat('LRG_', k % 400) AS lrg, concat('t', 1 + row_number() OVER (PARTITION BY k % 400 ORDER BY tx) - 1) AS selector, tx FROM transcripts WHERE k % 3 > 0)
+"""
+
+
+def hosted(spark, d):
+    """Genomic records with the transcripts that they host, as their tables list them."""
+    w = Window.partitionBy(c("k") % 400).orderBy("tx")
+    n = F.lpad((c("k") % 400).cast("string"), 6, "0")
+    return t(spark, d, "transcripts").where("k % 3 > 0").select(
+        F.concat(F.lit("NG_"), n, F.lit(".1")).alias("ng"), F.concat(F.lit("LRG_"), (c("k") % 400).cast("string")).alias("lrg"), F.concat(F.lit("t"), F.row_number().over(w).cast("string")).alias("selector"), "tx")
+
+
+@query("k8_lrg_to_refseq", _HOSTED + "SELECT concat(lrg, selector) AS acc, tx FROM hosted UNION ALL SELECT DISTINCT lrg, ng FROM hosted", "transcripts")
 def k8(spark, d):
-    """The transcript of each gene that has exactly one with a MANE status."""
-    x = t(spark, d, "transcripts").where("mane <> 'none'").groupBy("gene").agg(F.count("*").alias("n"), F.min("tx").alias("tx"))
-    return x.where("n = 1").select("gene", "tx")
+    """LRG transcripts and sequences as the RefSeq records that they stand for."""
+    return L.lrg_names(hosted(spark, d)).select("acc", "tx")
+
 
+@query("k8_sole_hosted", _HOSTED + "SELECT ng, min(tx) AS tx FROM hosted GROUP BY ng HAVING count(*) = 1", "transcripts")
+def k8s(spark, d):
+    """The transcript of each genomic record that hosts exactly one."""
+    return L.sole_hosted(hosted(spark, d))
 
-@query("k9_transcripts_by_contig", "SELECT contig, count(*) AS n, count(DISTINCT regexp_replace(tx, '\\.\\d+$', '')) AS bases, min(g0) AS first, count(*) FILTER (strand = -1) AS minus FROM transcripts GROUP BY contig", "transcripts")
+
+_BUILT = """, built AS (SELECT tx, contig, g0, strand, 'GRCh38' AS build FROM transcripts UNION ALL SELECT tx, concat(split_part(contig, '.', 1), '.', split_part(contig, '.', 2)::INT - 1), g0 + 500, strand, 'GRCh37' FROM transcripts WHERE k % 4 <> 0)
+"""
+
+
+def built(spark, d):
+    x = t(spark, d, "transcripts").select("k", "tx", "contig", "g0", "strand", F.lit("GRCh38").alias("build"))
+    old = F.concat(F.split_part("contig", F.lit("."), F.lit(1)), F.lit("."), (F.split_part("contig", F.lit("."), F.lit(2)).cast("int") - 1).cast("string"))
+    return x.union(x.where("k % 4 <> 0").select("k", "tx", old, c("g0") + 500, "strand", F.lit("GRCh37"))).drop("k")
+
+
+@query("k9_on_build", _BUILT + "SELECT tx, contig, g0, strand FROM built WHERE build = 'GRCh37'", "transcripts")
 def k9(spark, d):
-    x = t(spark, d, "transcripts")
-    return x.groupBy("contig").agg(F.count("*").alias("n"), F.count_distinct(D.base_accession(c("tx"))).alias("bases"), F.min("g0").alias("first"), F.count_if(c("strand") == -1).alias("minus"))
+    """Transcripts as one build places them, by any of its names."""
+    return L.on_build(built(spark, d), "hg19").select("tx", "contig", "g0", "strand")
+
+
+@query("k9_available_builds", _BUILT + "SELECT tx, array_to_string(list_sort(list_distinct(list(build))), ',') AS builds FROM built GROUP BY tx", "transcripts")
+def k9b(spark, d):
+    return L.available_builds(built(spark, d)).select("tx", F.array_join("builds", ",").alias("builds"))
 
 
 @query("j13_placement", "SELECT vid, tx, CASE WHEN strand = 1 THEN g - g0 ELSE g0 + len1 + len2 + len3 + 400 - g + 1 END AS inner_pos, g AS back FROM points p JOIN transcripts x ON p.contig = x.contig AND g > g0 AND g <= g0 + len1 + len2 + len3 + 400", "points", "transcripts")

@@ -68,10 +68,10 @@ def l4(spark, d):
     return x.select("vid", c("prefix").cast("long").alias("prefix"), c("suffix").cast("long").alias("suffix"), left("a").alias("r"), left("payload").alias("p"))
 
 
-@query("l5_smallest_unit", "SELECT k, substr(seq, 1, 1 + k % 6) AS unit0, substr(substr(seq, 1, 1 + k % 6), 1, list_min(list_filter(range(1, 8), lambda n: (1 + k % 6) % n = 0 AND left(repeat(substr(seq, 1, n), 8), 1 + k % 6) = substr(seq, 1, 1 + k % 6)))) AS unit FROM sequences", "sequences")
+@query("l5_smallest_unit", "SELECT k, substr(t, 1, list_min(list_filter(range(1, length(t) + 1), lambda n: length(t) % n = 0 AND repeat(substr(t, 1, n), length(t) // n) = t))) AS unit, length(t) AS n FROM (SELECT k, repeat(substr(seq, 1, 256 - (k % 250)::INT), 1 + (k % 3)::INT) AS t FROM sequences)", "sequences")
 def l5(spark, d):
-    x = seqs(spark, d).select("k", F.substring("seq", F.lit(1), (1 + c("k") % 6).cast("int")).alias("unit0"))
-    return x.select("k", "unit0", S.smallest_unit(F.concat("unit0", "unit0", "unit0")).alias("unit"))
+    x = seqs(spark, d).select("k", F.repeat(F.substring("seq", F.lit(1), (256 - c("k") % 250).cast("int")), (1 + c("k") % 3).cast("int")).alias("t"))
+    return x.select("k", S.smallest_unit(c("t")).alias("unit"), F.length("t").cast("long").alias("n"))
 
 
 @query("l5_homopolymer", """, x AS (SELECT k, seq, (k * 7) % 200 AS p FROM sequences)
@@ -88,18 +88,21 @@ def l5t(spark, d):
     return x.withColumn("unit", S.part(c("seq"), c("p"), c("n"))).select("k", "unit", S.tandem_copies(c("seq"), c("p"), c("unit")).alias("copies"))
 
 
-@query("l6_is_reverse_complement", "SELECT k, k % 2 = 0 OR substr(seq, 1, 1 + k % 2) = translate(reverse(substr(seq, 1, 1 + k % 2)), 'ACGT', 'TGCA') AS rc FROM sequences", "sequences")
+@query("l6_is_reverse_complement", "SELECT k, k % 2 = 0 OR seq = translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM sequences", "sequences")
 def l6(spark, d):
-    a = F.substring("seq", F.lit(1), F.when(c("k") % 2 == 0, 6).otherwise(2))
-    b = F.when(c("k") % 2 == 0, S.reverse_complement(a)).otherwise(a)
-    return seqs(spark, d).select("k", (S.reverse_complement(a) == b).alias("rc"))
+    b = F.when(c("k") % 2 == 0, S.reverse_complement(c("seq"))).otherwise(c("seq"))
+    return seqs(spark, d).select("k", (S.reverse_complement(c("seq")) == b).alias("rc"))
 
 
-@query("l7_chance", """, n AS (SELECT k, seq, substr(seq, 10, 3) AS f, length(seq) - length(replace(seq, 'A', '')) + 1 AS na, length(seq) - length(replace(seq, 'C', '')) + 1 AS nc, length(seq) - length(replace(seq, 'G', '')) + 1 AS ng,
-  length(seq) - length(replace(seq, 'T', '')) + 1 AS nt FROM sequences)
-SELECT k, round(list_product(list_transform(string_split(f, ''), lambda b: CASE b WHEN 'A' THEN na WHEN 'C' THEN nc WHEN 'G' THEN ng ELSE nt END / 260.0)), 9) AS p FROM n""", "sequences")
+@query("l7_chance", """, n AS (SELECT vid, w, payload AS f, length(w) + 4 AS total, length(w) - length(replace(w, 'A', '')) + 1 AS na, length(w) - length(replace(w, 'C', '')) + 1 AS nc, length(w) - length(replace(w, 'G', '')) + 1 AS ng,
+  length(w) - length(replace(w, 'T', '')) + 1 AS nt FROM (SELECT vid, payload, substr(seq, greatest(s - 50, 0) + 1, e + 50 - greatest(s - 50, 0)) AS w FROM edits WHERE payload <> ''))
+SELECT vid, round(list_product(list_transform(string_split(f, ''), lambda b: CASE b WHEN 'A' THEN na WHEN 'C' THEN nc WHEN 'G' THEN ng ELSE nt END / total)), 9) AS p,
+  list_product(list_transform(string_split(f, ''), lambda b: CASE b WHEN 'A' THEN na WHEN 'C' THEN nc WHEN 'G' THEN ng ELSE nt END / total)) < 0.01 AS unlikely FROM n""", "edits")
 def l7(spark, d):
-    return seqs(spark, d).select("k", F.round(S.chance(c("seq"), F.substring("seq", 10, 3)), 9).alias("p"))
+    """How likely the inserted bases are by the composition of the 50 bases on either side, and whether that is below 1 in 100."""
+    lo = F.greatest(c("s") - 50, F.lit(0))
+    x = edits(spark, d).where("payload <> ''").select("vid", S.chance(S.part(c("seq"), lo, c("e") + 50 - lo), c("payload")).alias("p"))
+    return x.select("vid", F.round("p", 9).alias("p"), (c("p") < 0.01).alias("unlikely"))
 
 
 @query("m1_shift", _TRIM + "SELECT vid, CASE WHEN r <> '' AND p = '' THEN k WHEN r = '' AND p <> '' THEN k END::INT AS shift FROM k", "edits")
@@ -153,16 +156,21 @@ def m4(spark, d):
     return edits(spark, d).select("vid", (S.part(c("seq"), c("s"), c("e") - c("s")) != c("payload")).alias("changes"))
 
 
-@query("m10_inversion_core", """, x AS (SELECT k, substr(seq, 1 + k % 90, 2 + k % 9) AS r FROM sequences)
+@query("m10_inversion_core", """, x AS (SELECT k, CASE WHEN k % 2 = 0 THEN seq ELSE concat(substr(seq, 1, 100), translate(reverse(substr(seq, 1, 100 - (k % 7)::INT)), 'ACGT', 'TGCA')) END AS r FROM sequences)
 SELECT k, coalesce(list_min(list_filter(range(1, length(r) // 2 + 1), lambda i: substr(r, i, 1) <> translate(substr(r, length(r) - i + 1, 1), 'ACGT', 'TGCA'))) - 1, length(r) // 2)::INT AS dropped FROM x""", "sequences")
 def m10(spark, d):
-    return seqs(spark, d).select("k", S.inverted_core(F.substring("seq", (1 + c("k") % 90).cast("int"), (2 + c("k") % 9).cast("int"))).cast("int").alias("dropped"))
+    r = F.when(c("k") % 2 == 0, c("seq")).otherwise(F.concat(F.substring("seq", 1, 100), S.reverse_complement(F.substring("seq", F.lit(1), (100 - c("k") % 7).cast("int")))))
+    return seqs(spark, d).select("k", S.inverted_core(r).cast("int").alias("dropped"))
 
 
-@query("m14_stated_bases", "SELECT vid, substr(seq, s + 1, 2) = substr(seq, e + 1, 2) AS matches FROM edits", "edits")
+@query("m14_stated_bases", """, x AS (SELECT vid, substr(seq, s + 1, e - s) AS held, CASE WHEN vid % 4 = 0 THEN '' WHEN vid % 4 = 1 THEN translate(substr(seq, s + 1, e - s), 'ACGT', 'CGTA') ELSE substr(seq, s + 1, e - s) END AS stated FROM edits)
+SELECT vid, CASE WHEN stated <> '' AND stated <> held THEN 'W5001' END AS warning, CASE WHEN stated <> '' AND stated <> held THEN 'refused' ELSE 'accepted' END AS strict, 'accepted' AS lenient FROM x""", "edits")
 def m14(spark, d):
-    """Stated bases against the reference: what is stated here are the two bases after the edit."""
-    return edits(spark, d).select("vid", (S.part(c("seq"), c("s"), F.lit(2)) == S.part(c("seq"), c("e"), F.lit(2))).alias("matches"))
+    """Bases that a description states against the reference: a mismatch is a warning, which a strict policy refuses."""
+    held = S.part(c("seq"), c("s"), c("e") - c("s"))
+    stated = F.when(c("vid") % 4 == 0, "").when(c("vid") % 4 == 1, F.translate(held, "ACGT", "CGTA")).otherwise(held)
+    warning = S.stated_mismatch(stated, held)
+    return edits(spark, d).select("vid", warning.alias("warning"), S.verdict(warning, F.lit("strict")).alias("strict"), S.verdict(warning, F.lit("lenient")).alias("lenient"))
 
 
 @query("o4_apply", "SELECT vid, concat(left(seq, s), payload, substr(seq, e + 1)) AS result FROM edits", "edits")

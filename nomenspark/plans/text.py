@@ -179,11 +179,11 @@ def f29(spark, d):
     return v.select("vid", D.nearest(typo, ["del", "dup", "inv", "ins", "delins", "con"]).alias("nearest"))
 
 
-@query("i1_complete_short_form", "SELECT vid, description FROM variants WHERE edit = 'sub' AND acc IN ('NM_000001.1', 'NC_000001.1') OR edit = 'missense' UNION ALL SELECT vid, description FROM variants WHERE false", "variants")
+@query("i1_complete_short_form", "SELECT vid, CASE WHEN edit = 'missense' THEN description ELSE CASE axis WHEN 'c' THEN 'NM_000001.1' WHEN 'g' THEN 'NC_000001.11' END || ':' || axis || '.' || substr(description, length(acc) + 4) END AS description FROM variants", "variants")
 def i1(spark, d):
-    v = variants(spark, d).where("edit = 'sub' AND acc IN ('NM_000001.1', 'NC_000001.1') OR edit = 'missense'")
-    short = D.complete(F.expr("CASE WHEN edit = 'sub' THEN substr(description, length(acc) + 2) ELSE description END"), {"c": "NM_000001.1", "g": "NC_000001.1"})
-    return v.select("vid", short.alias("description"))
+    """Short forms take the accession that the context gives their axis, and are null where it gives none; whole ones stay."""
+    short = D.complete(F.expr("CASE WHEN edit <> 'missense' THEN substr(description, length(acc) + 2) ELSE description END"), {"c": "NM_000001.1", "g": "NC_000001.11"})
+    return variants(spark, d).select("vid", short.alias("description"))
 
 
 @query("c16_rs_numbers", "SELECT rs, concat('rs', rs) AS name, rs AS parsed, rs AS parsed_bare FROM rsids", "rsids")
