@@ -162,3 +162,14 @@ def indel_effect(cds: Column, s: Column, e: Column, payload: Column) -> Column:
 def stopped(seq: Column) -> Column:
     """Whether one of the whole codons is a stop."""
     return F.concat(F.lit(""), F.upper(F.translate(seq, "Uu", "TT"))).rlike("^(?:...)*?(?:TAA|TAG|TGA)")
+
+
+def annotated_consequence(coding: Column, offset: Column, utr5: Column, utr3: Column, edit: Column, net: Column) -> Column:
+    """The term that a record's annotation gets: non-coding, then introns by their distance, then the untranslated regions,
+    then the edit. offset is null in exons; net null if unknown."""
+    frame = F.coalesce(F.abs(net) % 3 != 0, F.lit(False))
+    return (
+        F.when(~coding, "non_coding_transcript_variant").when(offset.isNotNull(), F.when(F.abs(offset) <= 2, "splice_region_variant").otherwise("intron_variant"))
+        .when(utr5, "5_prime_UTR_variant").when(utr3, "3_prime_UTR_variant").when(edit == "sub", "sequence_variant").when(frame, "frameshift_variant")
+        .when(edit.isin("ins", "dup", "dupins"), "inframe_insertion").when(edit.isin("del", "delins"), "inframe_deletion").otherwise("sequence_variant")
+    )

@@ -1,8 +1,8 @@
 """Queries by theme; each module holds QUERIES and ORACLE."""
 
-from . import effect, formats, genomics, sequence, text
+from . import checks, effect, formats, genomics, sequence, text
 
-MODULES = (text, sequence, genomics, effect, formats)
+MODULES = (text, sequence, genomics, effect, formats, checks)
 
 
 def queries() -> dict:
