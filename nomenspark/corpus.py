@@ -89,6 +89,17 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN strand = 1 THEN g0 + len1 + 200 + len2 ELSE g0 + len3 + 200 + len2 END FROM transcripts
         UNION ALL SELECT tx, contig, strand, 3, CAST(len1 + len2 AS BIGINT), CAST(len1 + len2 + len3 AS BIGINT), CASE WHEN strand = 1 THEN g0 + len1 + len2 + 400 ELSE g0 END,
           CASE WHEN strand = 1 THEN g0 + len1 + len2 + 400 + len3 ELSE g0 + len3 END FROM transcripts"""),
+    # spliced sequences, and edits on them, 0-based half-open
+    "tx_seqs": (["part", "transcripts"], f"""
+        SELECT tx, x.k, gene, strand, cds_start, cds_end, len1, len2, len3, len1 + len2 + len3 AS len, substr(concat({", ".join(_TRACTS.format(i) for i in range(18))}), 1, CAST(len1 + len2 + len3 AS INT)) AS seq
+        FROM transcripts x JOIN part ON p_partkey = x.k"""),
+    "tx_edits": (["lineitem", "tx_seqs"], f"""
+        SELECT vid, tx, seq, s, e, CASE WHEN edit = 'del' THEN '' WHEN edit = 'dup' THEN concat(substr(seq, s + 1, e - s), substr(seq, s + 1, e - s)) WHEN edit = 'sub' THEN translate(substr(seq, s + 1, 1), 'ACGT', 'CGTA')
+          WHEN vid % 2 = 0 THEN substr(seq, s + 1, 2) ELSE substr({_BASES.format("CAST(vid AS STRING)")}, 1, CAST(1 + vid % 4 AS INT)) END AS payload, edit, strand, cds_start, cds_end, len1, len2, len
+        FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY tx, e) AS nth FROM (
+          SELECT l_orderkey * 10 + l_linenumber AS vid, tx, seq, strand, cds_start, cds_end, len1, len2, len, CAST(20 + (l_orderkey * 7) % 330 AS INT) AS s,
+            CAST(20 + (l_orderkey * 7) % 330 + CASE l_linenumber % 4 WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 1 + l_suppkey % 4 END AS INT) AS e, CASE l_linenumber % 4 WHEN 0 THEN 'ins' WHEN 1 THEN 'del' WHEN 2 THEN 'dup' ELSE 'sub' END AS edit
+          FROM lineitem JOIN tx_seqs ON k = l_partkey) x) y WHERE nth = 1"""),
     # points on contigs
     "points": (["lineitem"], f"""
         SELECT l_orderkey * 10 + l_linenumber AS vid, {_contig('(1 + l_suppkey % 22)')} AS contig, 1000 + (l_orderkey * 131 + l_partkey * 17) % 92000 AS g FROM lineitem"""),

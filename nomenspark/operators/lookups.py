@@ -104,3 +104,18 @@ def lift(points: DataFrame, blocks: DataFrame, key: str, contig: str, at: str, p
     out = points.select(key).join(placed, key, "left")
     status = F.when(F.col("chain").isNull(), "no_chain").when(F.col("q").isNull(), "gap").otherwise("lifted")
     return out.select(key, status.alias(f"{p}status"), F.when(F.col("q").isNotNull(), F.col("q_name")).alias(f"{p}contig"), F.col("q").alias(f"{p}q"), F.col("chain").alias(f"{p}chain"), F.coalesce("several", F.lit(False)).alias(f"{p}several"))
+
+
+def lift_builds(points: DataFrame, chains: DataFrame, key: str, contig: str, at: str, source: str, target: str) -> DataFrame:
+    """lift() from one build to another, by any of their names. chains: blocks with the builds (source, target) that their
+    file leads from and to; no chain file is read backwards."""
+    own = chains.where((build_of(F.col("source")) == build_of(F.lit(source))) & (build_of(F.col("target")) == build_of(F.lit(target))))
+    return lift(points, own.drop("source", "target"), key, contig, at)
+
+
+def lift_37_to_38(points: DataFrame, chains: DataFrame, key: str, contig: str, at: str) -> DataFrame:
+    return lift_builds(points, chains, key, contig, at, "GRCh37", "GRCh38")
+
+
+def lift_38_to_37(points: DataFrame, chains: DataFrame, key: str, contig: str, at: str) -> DataFrame:
+    return lift_builds(points, chains, key, contig, at, "GRCh38", "GRCh37")

@@ -1,8 +1,8 @@
 """Queries by theme; each module holds QUERIES and ORACLE."""
 
-from . import checks, effect, formats, genomics, sequence, text
+from . import checks, effect, formats, genomics, references, sequence, text
 
-MODULES = (text, sequence, genomics, effect, formats, checks)
+MODULES = (text, sequence, genomics, effect, formats, checks, references)
 
 
 def queries() -> dict:
