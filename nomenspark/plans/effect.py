@@ -113,11 +113,6 @@ def b4(spark, d):
     return records(spark, d).select("vid", V.write_line(c("chrom"), c("pos"), none, c("ref"), alts, none, c("filter"), info).alias("line"))
 
 
-@query("q10_annotation_lists", "SELECT chrom, pos // 1000 AS bin, array_to_string(list_sort(list_distinct(list(alt))), ',') AS alts, count(*) AS n FROM vcf GROUP BY 1, 2", "vcf")
-def q10(spark, d):
-    return records(spark, d).groupBy("chrom", F.floor(c("pos") / 1000).alias("bin")).agg(F.array_join(F.array_sort(F.collect_set("alt")), ",").alias("alts"), F.count("*").alias("n"))
-
-
 @query("q12_batch_statistics", "SELECT count(*) AS total, count(*) FILTER (pos % 5 <> 0) AS ok, count(*) FILTER (pos % 5 = 0) AS failed, round(count(*) FILTER (pos % 5 <> 0) / count(*), 6) AS rate FROM vcf", "vcf")
 def q12(spark, d):
     """Lines whose position is no number fail; the others are records."""

@@ -53,3 +53,33 @@ def info_header(name: str, number: str, kind: str, text: str) -> str:
 def transcript_rows(df: DataFrame) -> Column:
     """A transcripts JSON line of genomics.transcripts() columns."""
     return F.to_json(F.struct(F.col("tx").alias("id"), F.col("gene").alias("gene_symbol"), "strand", "exons"))
+
+
+def annotation_value(alt: Column, term: Column, impact: Column, gene: Column, tx: Column, coding: Column, protein: Column) -> Column:
+    """One entry of an ANN value: its fields by |, those that are unknown empty."""
+    return F.concat_ws("|", *(F.coalesce(x, F.lit("")) for x in (alt, term, impact, gene, tx, coding, protein)))
+
+
+def annotated(hits: DataFrame, key: str) -> DataFrame:
+    """key, genes, hgvs_c, transcripts and consequences of annotations (key, gene, tx, description, term): each a comma-joined
+    list without repeats, in order of gene and transcript, and ann, all entries."""
+    rows = hits.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("gene", "tx", "description", "term"))).alias("_h"))
+    listed = lambda name: F.array_join(F.array_distinct(F.array_compact(F.transform("_h", lambda x: x[name]))), ",")
+    entry = F.transform("_h", lambda x: F.concat_ws("|", F.coalesce(x["term"], F.lit("")), F.coalesce(x["gene"], F.lit("")), F.coalesce(x["tx"], F.lit("")), F.coalesce(x["description"], F.lit(""))))
+    return rows.select(key, listed("gene").alias("genes"), listed("description").alias("hgvs_c"), listed("tx").alias("transcripts"), listed("term").alias("consequences"), F.array_join(entry, ",").alias("ann"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """total, ok, failed and changed of result_rows()."""
+    n, ok = F.count("*"), F.count_if(F.col("status") == "ok")
+    return rows.agg(n.alias("total"), ok.alias("ok"), (n - ok).alias("failed"), F.count_if("changed").alias("changed"))
+
+
+def timing_line(operation: Column, total: Column, ok: Column, seconds: Column) -> Column:
+    """A timing record as JSON."""
+    return F.to_json(F.struct(operation.alias("operation"), total.alias("total"), ok.alias("ok"), (total - ok).alias("failed"), seconds.alias("seconds"), F.round(F.try_divide(total, seconds), 3).alias("per_second")))
+
+
+def projection_line(tx: Column, axis: Column, output: Column, reason: Column) -> Column:
+    """A projected description as text: transcript, axis and what it is, or why there is none."""
+    return F.concat_ws("\t", tx, axis, F.coalesce(output, F.concat(F.lit("unavailable: "), reason)))

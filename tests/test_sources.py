@@ -110,3 +110,32 @@ def test_stream(spark, tmp_path):
     run()
     got = sorted((r.text, r.category, r.edit) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("NC_1.1:g.5_6del", "genomic_del", "del"), ("NM_1.1:c.1A>G", "coding_snv", "sub")]
+
+
+def test_fasta_chunks_over_many_splits(spark, tmp_path):
+    """Records over several splits, several in one, empty ones, and text before the first."""
+    import random
+
+    r, records = random.Random(4), {}
+    for i in range(40):
+        records[f"R{i}.1"] = "".join(r.choice("ACGTN") for _ in range(r.choice((0, 1, 63, 64, 65, 700, 20_000))))
+    for name, width in (("a", 60), ("b", 7)):
+        lines = ["not a sequence"] if name == "a" else []
+        for acc, seq in records.items():
+            lines += [f">{name}{acc} note", *(seq[k : k + width].lower() for k in range(0, len(seq), width)), ""]
+        (tmp_path / f"{name}.fa").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {(x.acc, x.chunk): x.bases for x in G.fasta_chunks(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(n + acc, k): seq[64 * k : 64 * k + 64] for n in "ab" for acc, seq in records.items() for k in range((len(seq) + 63) // 64)}
+    assert got == want
+
+
+def test_repeated_info_keys_have_their_last_value(spark):
+    from nomenspark.functions import vcf
+
+    line = "1\t5\t.\tA\tC\t.\t.\tDP=3;DP=4;DB;DB"
+    r = spark.createDataFrame([(line,)], "line string").select(vcf.parse_line(F.col("line")).alias("r")).first().r
+    assert r.info == {"DP": "4", "DB": ""}
