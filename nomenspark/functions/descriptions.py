@@ -286,3 +286,25 @@ def rs_number(text: Column) -> Column:
 
 def rs_id(number: Column) -> Column:
     return F.concat(F.lit("rs"), number.cast("string"))
+
+
+def accession_whole(acc: Column) -> Column:
+    """struct(kind, assembly, chromosome, context, inner): GRCh38(chr1) by assembly and chromosome, NC_000001.11(NM_000088.3) by
+    its genomic context and what lies in it, all others by themselves."""
+    of = lambda p, i: F.nullif(F.regexp_extract(acc, p, i), F.lit(""))
+    build, nested = r"^(GRCh\d+|hg\d+)\(([A-Za-z0-9_.]+)\)$", r"^([A-Z]{2}_\d+(?:\.\d+)?|LRG_\d+)\(([A-Z]{2}_\d+(?:\.\d+)?|LRG_\d+[tp]\d+)\)$"
+    kind = F.when(acc.rlike(build), "assembly").when(acc.rlike(nested), "nested").otherwise(accession_class(acc))
+    return F.struct(kind.alias("kind"), of(build, 1).alias("assembly"), of(build, 2).alias("chromosome"), of(nested, 1).alias("context"), F.coalesce(of(nested, 2), F.when(~acc.rlike(build), acc)).alias("inner"))
+
+
+def is_mitochondrial(acc: Column) -> Column:
+    return acc.rlike(r"^NC_012920(\.\d+)?$")
+
+
+#: Words of clinical significance by what they say. Fixed values.
+PATHOGENIC, BENIGN = ("Pathogenic", "Likely pathogenic", "Pathogenic/Likely pathogenic"), ("Benign", "Likely benign", "Benign/Likely benign")
+
+
+def significance_side(text: Column) -> Column:
+    """pathogenic, benign, uncertain or other."""
+    return F.when(text.isin(*PATHOGENIC), "pathogenic").when(text.isin(*BENIGN), "benign").when(text == "Uncertain significance", "uncertain").otherwise("other")

@@ -173,3 +173,57 @@ def annotated_consequence(coding: Column, offset: Column, utr5: Column, utr3: Co
         .when(utr5, "5_prime_UTR_variant").when(utr3, "3_prime_UTR_variant").when(edit == "sub", "sequence_variant").when(frame, "frameshift_variant")
         .when(edit.isin("ins", "dup", "dupins"), "inframe_insertion").when(edit.isin("del", "delins"), "inframe_deletion").otherwise("sequence_variant")
     )
+
+
+def start_context_change(before: Column, after: Column) -> Column:
+    """What a change does to the start's context: kept, weakened or strengthened; null if a context is too short."""
+    rank = F.create_map(*[F.lit(x) for kv in (("weak", 0), ("adequate", 1), ("strong", 2)) for x in kv])
+    a, b = F.try_element_at(rank, kozak(before)), F.try_element_at(rank, kozak(after))
+    return F.when(a > b, "weakened").when(a < b, "strengthened").when(a == b, "kept")
+
+
+def frameshift_decay(exons: Column, effect: Column, cds_start: Column, stop: Column, last_exon: Column) -> Column:
+    """decay() at the new stop of indel_effect()'s struct; null unless it is a frameshift that finds a stop."""
+    ptc = cds_start + 3 * (effect["number"] + effect["distance"] - 2)
+    return F.when((effect["kind"] == "frameshift") & effect["distance"].isNotNull(), decay(exons, ptc, stop, last_exon))
+
+
+def residues(letters: Column) -> Column:
+    """One-letter residues in three letters."""
+    from .descriptions import three_letters
+
+    return F.array_join(F.transform(F.filter(F.split(letters, ""), lambda x: x != ""), lambda x: three_letters(x)), "")
+
+
+def protein_edit(old: Column, new: Column) -> Column:
+    """The p. edit between two proteins (one-letter, up to their stops), without accession: identity, substitution, deletion and
+    insertion at their last place, duplication, delins."""
+    from .sequences import common_suffix, part, rotate, shift_deletion, shift_insertion
+
+    def read(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        letter = lambda i: F.concat(residues(part(a, i, F.lit(1))), (i + 1).cast("string"))
+        span = lambda lo, hi: F.when(hi > lo + 1, F.concat(letter(lo), F.lit("_"), letter(hi - 1))).otherwise(letter(lo))
+
+        def trimmed(p: Column) -> Column:
+            q = common_suffix(F.substr(a, p + 1), F.substr(b, p + 1))
+            return let(F.struct(p.alias("p"), part(a, p, F.length(a) - p - q).alias("r"), part(b, p, F.length(b) - p - q).alias("n")), say)
+
+        def say(t: Column) -> Column:
+            lo, hi = t["p"], t["p"] + F.length(t["r"])
+
+            def inserted(k: Column) -> Column:
+                at, rolled = lo + k, rotate(t["n"], k)
+                n = F.length(rolled)
+                dup = (at >= n) & (part(a, at - n, n) == rolled)
+                return F.when(dup, F.concat(span(at - n, at), F.lit("dup"))).otherwise(F.concat(letter(at - 1), F.lit("_"), letter(at), F.lit("ins"), residues(rolled)))
+
+            return (
+                F.when(a == b, "=").when(t["n"] == "", let(shift_deletion(a, lo, hi), lambda k: F.concat(span(lo + k, hi + k), F.lit("del"))))
+                .when(t["r"] == "", let(shift_insertion(a, lo, t["n"]), inserted))
+                .when((F.length(t["r"]) == 1) & (F.length(t["n"]) == 1), F.concat(letter(lo), residues(t["n"]))).otherwise(F.concat(span(lo, hi), F.lit("delins"), residues(t["n"])))
+            )
+
+        return let(common_prefix(a, b), trimmed)
+
+    return let(F.struct(old.alias("a"), new.alias("b")), read)

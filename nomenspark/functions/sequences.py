@@ -342,3 +342,23 @@ def insertion_to_repeat(seq: Column, s: Column, payload: Column, coding: Column)
         return F.when(fits, out("repeat", x["at"] - x["held"], x["unit"], (x["held"] + added) / n)).otherwise(out("ins", x["at"], x["alt"], F.lit(None)))
 
     return let(let(let(let(shift_insertion(seq, s, payload), shifted), united), counted), decide)
+
+
+# ---- SPDI from 1-based places
+
+
+def spdi_substitution(accession: Column, at: Column, ref: Column, alt: Column) -> Column:
+    return spdi(accession, at - 1, ref, alt)
+
+
+def spdi_deletion(accession: Column, lo: Column, bases: Column) -> Column:
+    return spdi(accession, lo - 1, bases, F.lit(""))
+
+
+def spdi_insertion(accession: Column, after: Column, bases: Column) -> Column:
+    """Bases inserted after the 1-based place."""
+    return spdi(accession, after, F.lit(""), bases)
+
+
+def spdi_delins(accession: Column, lo: Column, ref: Column, alt: Column) -> Column:
+    return spdi(accession, lo - 1, ref, alt)

@@ -75,3 +75,23 @@ def inventory(rows: DataFrame, text: str) -> DataFrame:
     """Accessions that the texts name, by prefix."""
     found = rows.select(F.explode(F.regexp_extract_all(text, F.lit(r"([A-Z]{2}_\d+(?:\.\d+)?)"), F.lit(1))).alias("acc"))
     return found.groupBy(accession_parts(F.col("acc"))["prefix"].alias("prefix")).agg(F.count("*").alias("n"), F.count_distinct("acc").alias("accessions"))
+
+
+def throughput(timings: DataFrame, by: list[str], baseline: dict) -> DataFrame:
+    """by, total, ok, rate (a second) and speedup over the baseline's rate of runs (by, ok, seconds); null where the baseline
+    did not run."""
+    rates = timings.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("ok").alias("ok"), F.try_divide(F.count("*"), F.sum("seconds")).alias("rate"))
+    is_base = F.lit(True)
+    for name, value in baseline.items():
+        is_base = is_base & (F.col(name) == value)
+    rest = [b for b in by if b not in baseline]
+    base = rates.where(is_base).select(*[F.col(b).alias(f"_{b}") for b in rest], F.col("rate").alias("_rate"))  # one row a group
+    on = F.lit(True)
+    for b in rest:
+        on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return rates.join(base, on, "left").select(*by, "total", "ok", F.round("rate", 6).alias("rate"), F.round(F.try_divide("rate", "_rate"), 6).alias("speedup"))
+
+
+def missing(wanted: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """The distinct keys that are wanted and not held, and how often."""
+    return wanted.join(held.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count("*").alias("n"))

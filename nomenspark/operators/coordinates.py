@@ -65,3 +65,43 @@ def intron_position(points: DataFrame, exons: DataFrame) -> DataFrame:
 def codon(base: Column) -> Column:
     """struct(number, frame) of a position in the coding sequence; frame 0 to 2."""
     return F.when(base >= 1, F.struct(F.floor((base - 1) / 3 + 1).cast("long").alias("number"), ((base - 1) % 3).cast("int").alias("frame")))
+
+
+def to_zero(one: Column) -> Column:
+    """A 1-based position as a 0-based one; null for 0 and below, which no 1-based axis has."""
+    return F.when(one >= 1, one - 1)
+
+
+def to_one(zero: Column) -> Column:
+    """A 0-based position as a 1-based one; null below 0, and at the largest number, beyond which there is none."""
+    return F.when((zero >= 0) & (zero < 9223372036854775807), zero + 1)
+
+
+def to_half_open(lo: Column, hi: Column) -> Column:
+    """struct(lo, hi): a 1-based inclusive interval as a 0-based half-open one; null if it is none."""
+    return F.when((lo >= 1) & (hi >= lo), F.struct((lo - 1).alias("lo"), hi.alias("hi")))
+
+
+def codon_bases(number: Column) -> Column:
+    """struct(lo, hi): the coding positions of a residue, 1-based inclusive."""
+    return F.when(number >= 1, F.struct((3 * number - 2).alias("lo"), (3 * number).alias("hi")))
+
+
+def valid_position(axis: Column, n: Column, length: Column, cds_start: Column, cds_end: Column) -> Column:
+    """Whether a 1-based position (on c. relative to the start codon, none of them 0) lies on its sequence; on p. up to the
+    stop's codon. Null where there is nothing to judge by."""
+    tx = F.when(n > 0, cds_start + n - 1).otherwise(cds_start + n)
+    residues = F.floor((cds_end - cds_start + 1) / 3)
+    return (
+        F.when(axis.isin("g", "n", "m", "o"), n.between(1, length)).when(axis == "c", (n != 0) & tx.between(1, length))
+        .when(axis == "p", n.between(1, residues))
+    )
+
+
+def structure(placed: DataFrame) -> DataFrame:
+    """tx, number, t0 and t1 of exons that are known on the contig alone (tx, strand, x0, x1): in transcript order, one after
+    another."""
+    order = F.when(F.col("strand") == 1, F.col("x0")).otherwise(-F.col("x0"))
+    w = Window.partitionBy("tx").orderBy(order)
+    size = F.col("x1") - F.col("x0")
+    return placed.select("tx", F.row_number().over(w).alias("number"), (F.sum(size).over(w) - size).alias("t0"), F.sum(size).over(w).alias("t1"), "x0", "x1")

@@ -1,8 +1,8 @@
 """Queries by theme; each module holds QUERIES and ORACLE."""
 
-from . import checks, effect, files, formats, genomics, references, sequence, text
+from . import checks, effect, files, formats, further, genomics, references, sequence, text
 
-MODULES = (text, sequence, genomics, effect, formats, checks, references, files)
+MODULES = (text, sequence, genomics, effect, formats, checks, references, files, further)
 
 
 def queries() -> dict:

@@ -61,7 +61,7 @@ def q1(spark, d):
 
 
 @query("q3_accessions", CONTIGS + """SELECT DISTINCT 'GRCh38' AS build, v.chrom, accession, CASE WHEN accession IS NULL THEN 'unknown_contig' END AS contig_error FROM vcf v LEFT JOIN contigs USING (chrom)
-UNION ALL SELECT DISTINCT 'hg19', v.chrom, CASE WHEN accession LIKE 'NC_012920%' THEN accession ELSE concat(split_part(accession, '.', 1), '.', split_part(accession, '.', 2)::INT - 1) END, CASE WHEN accession IS NULL THEN 'unknown_contig' END FROM vcf v LEFT JOIN contigs USING (chrom)
+UNION ALL SELECT DISTINCT 'hg19', v.chrom, CASE WHEN accession LIKE 'NC_012920%' THEN accession ELSE split_part(accession, '.', 1) || '.' || (split_part(accession, '.', 2)::INT - 1) END, CASE WHEN accession IS NULL THEN 'unknown_contig' END FROM vcf v LEFT JOIN contigs USING (chrom)
 UNION ALL SELECT DISTINCT 'mm10', chrom, NULL, 'unknown_build' FROM vcf""", "vcf")
 def q3(spark, d):
     """Each build's accessions, by any of its names; the older human build is one version behind throughout."""
