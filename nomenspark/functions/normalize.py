@@ -43,10 +43,11 @@ def canonical_within(seq: Column, s: Column, e: Column, payload: Column, lo: Col
     inside = (s >= lo) & (e <= hi)
     a, b = F.when(inside, lo).otherwise(s), F.when(inside, hi).otherwise(e)
 
-    def back(c: Column) -> Column:
-        return F.struct(c["edit"].alias("edit"), (c["s"] + a).cast("int").alias("s"), (c["e"] + a).cast("int").alias("e"), c["alt"].alias("alt"))
+    def back(x: Column, c: Column) -> Column:
+        return F.struct(c["edit"].alias("edit"), (c["s"] + x["a"]).cast("int").alias("s"), (c["e"] + x["a"]).cast("int").alias("e"), c["alt"].alias("alt"))
 
-    return let(canonical(part(seq, a, b - a), (s - a).cast("int"), (e - a).cast("int"), payload), back)
+    own = F.struct(part(seq, a, b - a).alias("seq"), a.cast("int").alias("a"), (s - a).cast("int").alias("s"), (e - a).cast("int").alias("e"), payload.alias("p"))
+    return let(own, lambda x: let(canonical(x["seq"], x["s"], x["e"], x["p"]), lambda c: back(x, c)))
 
 
 def shift_within(seq: Column, s: Column, e: Column, payload: Column, lo: Column, hi: Column) -> Column:

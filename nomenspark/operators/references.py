@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from nomenspark.functions import normalize as N
 from nomenspark.functions.sequences import part, reverse_complement, spdi
 
-from .coordinates import genome_to_tx, tx_to_genome
+from .coordinates import tx_to_genome
+from .intervals import stab
 from .lookups import window
 
 
@@ -86,12 +87,12 @@ def records_on_transcripts(records: DataFrame, exons: DataFrame, transcripts: Da
     is an error: crosses_exon."""
     last = F.col("pos") + F.greatest(F.length("ref"), F.lit(1)) - 1
     # an insertion lies between pos - 1 and pos
-    rows = records.withColumns({"g": F.col("pos"), "_last": last, "_gap": F.length("ref") == 0})
-    first = genome_to_tx(rows, exons)
-    own = exons.select("tx", F.col("t0").alias("_t0"), F.col("t1").alias("_t1"), F.col("strand").alias("_strand"))
-    on = first.join(own, "tx").where((F.col("n") > F.col("_t0")) & (F.col("n") <= F.col("_t1")))
+    rows = records.withColumns({"_g0": F.col("pos") - 1, "_last": last, "_gap": F.length("ref") == 0})
+    own = exons.select("tx", "contig", F.col("t0").alias("_t0"), F.col("t1").alias("_t1"), F.col("strand").alias("_strand"), "x0", "x1")
     plus = F.col("_strand") == 1
-    width = F.col("_last") - F.col("g")
+    on = stab(rows, own, "contig", "_g0", "x0", "x1")
+    on = on.withColumn("n", F.col("_t0") + 1 + F.when(plus, F.col("_g0") - F.col("x0")).otherwise(F.col("x1") - 1 - F.col("_g0")))
+    width = F.col("_last") - F.col("pos")
     # 0-based half-open on the transcript
     s = F.when(plus, F.col("n") - 1).when(F.col("_gap"), F.col("n")).otherwise(F.col("n") - 1 - width)
     e = F.when(F.col("_gap"), s).otherwise(s + width + 1)
