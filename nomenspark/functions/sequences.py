@@ -84,6 +84,16 @@ def common_suffix(a: Column, b: Column) -> Column:
     return common_prefix(F.reverse(a), F.reverse(b))
 
 
+def trimmed(a: Column, b: Column, body) -> Column:
+    """body(struct(a, b), p, q) with the lengths of the common prefix, and of the common suffix of the rest, each value computed
+    once a row."""
+
+    def suffix(x: Column, p: Column) -> Column:
+        return let(common_suffix(F.substr(x["a"], p + 1), F.substr(x["b"], p + 1)), lambda q: body(x, p, q))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: let(common_prefix(x["a"], x["b"]), lambda p: suffix(x, p)))
+
+
 def smallest_unit(seq: Column) -> Column:
     """The shortest string whose repetition gives the sequence."""
     n = F.length(seq)
@@ -152,14 +162,7 @@ def canonical(seq: Column, s: Column, e: Column, payload: Column) -> Column:
     """struct(edit, s, e, alt) of the replacement of [s, e) by payload, 0-based half-open, as it is described: identity,
     duplication of the whole, then trimmed: insertion (a duplication if its flank repeats it) and deletion shifted to the
     3' end, substitution, inversion without its self-complementary ends, delins."""
-    deleted = part(seq, s, e - s)
-    whole_dup = (e > s) & (payload == F.concat(deleted, deleted))
-    p = common_prefix(deleted, payload)
-    q = common_suffix(F.substr(deleted, p + 1), F.substr(payload, p + 1))
-    trimmed = F.struct(
-        deleted.alias("whole"), payload.alias("given"), whole_dup.alias("whole_dup"), (s + p).cast("int").alias("s"), (e - q).cast("int").alias("e"),
-        part(deleted, p, F.length(deleted) - p - q).alias("ref"), part(payload, p, F.length(payload) - p - q).alias("alt"),
-    )
+    whole_dup = lambda x: (e > s) & (x["b"] == F.concat(x["a"], x["a"]))
     text = lambda edit, a, b, alt: F.struct(F.lit(edit).alias("edit"), a.cast("int").alias("s"), b.cast("int").alias("e"), alt.alias("alt"))
     none = F.lit("")
 
@@ -193,7 +196,10 @@ def canonical(seq: Column, s: Column, e: Column, payload: Column) -> Column:
             .otherwise(text("delins", t["s"], t["e"], t["alt"]))
         )
 
-    return let(trimmed, decide)
+    return trimmed(part(seq, s, e - s), payload, lambda x, p, q: let(F.struct(
+        x["a"].alias("whole"), x["b"].alias("given"), whole_dup(x).alias("whole_dup"), (s + p).cast("int").alias("s"), (e - q).cast("int").alias("e"),
+        part(x["a"], p, F.length(x["a"]) - p - q).alias("ref"), part(x["b"], p, F.length(x["b"]) - p - q).alias("alt"),
+    ), decide))
 
 
 def described(accession: Column, seq: Column, c: Column, axis: str = "g") -> Column:
@@ -239,21 +245,18 @@ def parse_spdi(text: Column) -> Column:
 
 def canonical_spdi(accession: Column, seq: Column, s: Column, e: Column, payload: Column) -> Column:
     """A key that all spellings of one change on one sequence share: trimmed, then moved to the 3' end."""
-    deleted = part(seq, s, e - s)
-    p = common_prefix(deleted, payload)
-    q = common_suffix(F.substr(deleted, p + 1), F.substr(payload, p + 1))
-    t = F.struct((s + p).alias("s"), (e - q).alias("e"), part(deleted, p, F.length(deleted) - p - q).alias("ref"), part(payload, p, F.length(payload) - p - q).alias("alt"))
-
     def decide(t: Column) -> Column:
         gone = lambda k: spdi(accession, t["s"] + k, rotate(t["ref"], k), F.lit(""))
         new = lambda k: spdi(accession, t["s"] + k, F.lit(""), rotate(t["alt"], k))
         return (
-            F.when((F.length(t["ref"]) == 0) & (F.length(t["alt"]) == 0), spdi(accession, s, deleted, payload))
+            F.when((F.length(t["ref"]) == 0) & (F.length(t["alt"]) == 0), spdi(accession, s, t["whole"], t["whole"]))
             .when(F.length(t["alt"]) == 0, let(shift_deletion(seq, t["s"], t["e"]), gone)).when(F.length(t["ref"]) == 0, let(shift_insertion(seq, t["s"], t["alt"]), new))
             .otherwise(spdi(accession, t["s"], t["ref"], t["alt"]))
         )
 
-    return let(t, decide)
+    return trimmed(part(seq, s, e - s), payload, lambda x, p, q: let(F.struct(
+        x["a"].alias("whole"), (s + p).alias("s"), (e - q).alias("e"), part(x["a"], p, F.length(x["a"]) - p - q).alias("ref"), part(x["b"], p, F.length(x["b"]) - p - q).alias("alt"),
+    ), decide))
 
 
 def spdi_type(deletion: Column, insertion: Column) -> Column:
