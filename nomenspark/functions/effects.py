@@ -156,7 +156,7 @@ def indel_effect(cds: Column, s: Column, e: Column, payload: Column) -> Column:
 
         return let(F.struct(take(x["old"]).alias("old"), take(x["new"]).alias("new")), compared)
 
-    return let(given, lambda x: F.coalesce(read(x, 192), read(x, None)))
+    return let(given, lambda x: F.coalesce(read(x, 96), read(x, None)))
 
 
 def stopped(seq: Column) -> Column:
