@@ -6,7 +6,7 @@ import pytest
 from nomenspark import corpus, plans
 
 #: Queries that join line items with long sequences.
-JOINED = ["e9_spdi_types", "c15_parse_spdi", "q5_edit_to_record"]
+JOINED = ["e9_spdi_types", "c15_parse_spdi", "q5_edit_to_record", "r7_context_changes"]
 
 
 @pytest.mark.parametrize("name", JOINED)
