@@ -6,7 +6,7 @@ import pytest
 from nomenspark import corpus, plans
 
 #: Queries that join line items with long sequences.
-JOINED = ["e9_spdi_types", "c15_parse_spdi", "q5_edit_to_record", "r7_context_changes", "l7_chance", "m2_genomic_window", "m4_needs_change", "m0_canonical_description", "m0_canonical_keeps_the_sequence", "m11_inverted_copies", "m14_stated_bases", "m18_on_own_reference", "m1_shift", "m8_canonical_edit", "m9_decomposition", "n1_from_windows", "n2_trim_window", "n4_extracted", "o3_with_reference", "o4_apply", "o5_canonical_spdi", "o6_same_sequence", "p2_denotations"]
+JOINED = ["e9_spdi_types", "c15_parse_spdi", "q5_edit_to_record", "r7_context_changes", "l7_chance", "m2_genomic_window", "m4_needs_change", "m0_canonical_description", "m0_canonical_keeps_the_sequence", "m11_inverted_copies", "m14_stated_bases", "m18_on_own_reference", "m1_shift", "m8_canonical_edit", "m9_decomposition", "n1_from_windows", "n2_trim_window", "n4_extracted", "o3_with_reference", "o4_apply", "o5_canonical_spdi", "o6_same_sequence", "p2_denotations", "k3_windows"]
 
 
 @pytest.mark.parametrize("name", JOINED)
